@@ -10,7 +10,7 @@ so the sums equal a byte-by-byte pass.
 
 Defined results:
 - null or empty text, or text without any letter: language ``und``, 0 bits, not accepted;
-- a text whose best language needs more than ``max_bits_per_byte``: ``und``, not accepted;
+- a text whose best language needs more than ``max_bits_per_byte`` (8: more than the text as it is): ``und``, not accepted;
 - equal code lengths: the language first in alphabetical order;
 - rows with a null id are scored like any other; repeated rows each give a row; an empty table gives no rows;
 - other columns of the input are ignored (``identify``) or passed through unchanged (``accepted``).
@@ -53,7 +53,7 @@ class LangIdParams:
     docs_per_lang: int = 250
     max_contexts: int = 24_000
     min_count: int = 4
-    max_bits_per_byte: float = 5.5
+    max_bits_per_byte: float = 8.0
 
 
 @dataclass
