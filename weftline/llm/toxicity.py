@@ -36,8 +36,9 @@ from weftline.llm.batches import keep_rows, map_rows
 LENGTH = 4
 DECAY = 0.75
 NO_WORDS = -9.0
+SHORT = 8
 #: Remembered word scores of a worker; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 SCHEMA = T.StructType(
     [
@@ -59,7 +60,7 @@ class ToxicityParams:
 
     max_labelled: int = 6_000
     min_places: int = 2
-    landmarks: int = 40
+    landmarks: int = 28
     max_negatives: int = 60_000
     cost: float = 10.0
     rounds: int = 60
@@ -90,7 +91,13 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(others)), np.float32)
     if not words or not others:
         return out
-    t = _codes(others, max(map(len, others)) or 1)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    if sizes.max() > SHORT >= sizes.min():
+        # Short and long others apart: the work for each pair is in proportion to the longest of its kind.
+        for kind in (np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)):
+            out[:, kind] = kernel(words, [others[i] for i in kind])
+        return out
+    t = _codes(others, int(sizes.max()) or 1)
     width = t.shape[1]
     marked = np.where(t == 0, np.uint32(0xFFFFFFFF), t)  # padding matches nothing
     # spread[k, j] = DECAY ** (j - k): carries weight forward along the other word.
