@@ -29,8 +29,8 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 def write(df: DataFrame, name: str, bits: int) -> str:
     """Store ``df``, whose first column is the long key, in ``2 ** bits`` buckets; gives the folder.
 
-    Value columns are numbers, or one int array (kept as offsets and a flat array). Keys must be unique; a key that
-    occurs twice is an error.
+    Value columns are numbers, or one int array (kept as offsets and a flat array). Entries that share a key can't be told
+    apart, so all of them are left out and look-ups find nothing there; readers need an answer of their own for that.
     """
     spark = df.sparkSession
     ship(spark)
@@ -45,8 +45,9 @@ def write(df: DataFrame, name: str, bits: int) -> str:
         k = table.column(1).combine_chunks().to_numpy().view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(k, kind="stable")
         k = k[order]
-        if (k[1:] == k[:-1]).any():
-            raise ValueError(f"{name}: two entries have one key")
+        same = np.concatenate([[False], k[1:] == k[:-1]])
+        alone = ~(same | np.append(same[1:], False))
+        k, order = k[alone], order[alone]
         for i, v in enumerate(values):
             column = table.column(2 + i).combine_chunks()
             if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
