@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, chat, html_text, langid, mixing, quality, simhash, toxicity
+from weftline.llm import bpe, chat, embdedup, html_text, langid, mixing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.groups(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_embeddings": op4_embeddings,
     "op5_toxicity": op5_toxicity,
     "op7_html": op7_html,
     "op8_bpe": op8_bpe,
