@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, chat, embdedup, html_text, langid, mixing, quality, simhash, toxicity
+from weftline.llm import bpe, chat, embdedup, html_text, langid, lm, mixing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(_read(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_embeddings": op4_embeddings,
     "op5_toxicity": op5_toxicity,
+    "op6_lm": op6_lm,
     "op7_html": op7_html,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
