@@ -22,6 +22,7 @@ Defined results:
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,8 +38,8 @@ LENGTH = 4
 DECAY = 0.75
 NO_WORDS = -9.0
 SHORT = 8
-#: Remembered word scores of a worker; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 1_200_000
+#: Remembered scores of words, and of tokens, of a worker; beyond it the memory is emptied, which costs time only.
+REMEMBERED = 900_000
 
 SCHEMA = T.StructType(
     [
@@ -180,18 +181,38 @@ def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
 # -------------------------------------------------------------------------------------------------------------- training
 
 
+def word_in(token: str) -> str:
+    """The word that a token between white space stands for; empty if there is none."""
+    if token.isalpha():
+        return token
+    bare = NOT_LETTER.sub("", token)
+    return bare if len(bare) >= LENGTH else ""
+
+
+def spelled(row: list[str], lone: set[str]) -> set[str]:
+    """Words spelled out in single letters. ``lone``: the tokens of the row that hold a letter standing alone.
+
+    A spelled-out word is either inside one token or runs over adjacent tokens that all hold such letters.
+    """
+    if not lone:
+        return set()
+    at = [i for i, w in enumerate(row) if w in lone]
+    found: set[str] = set()
+    start = 0
+    for k in range(1, len(at) + 1):
+        if k == len(at) or at[k] != at[k - 1] + 1:
+            stretch = row[at[start] : at[k - 1] + 1]
+            if len(stretch) > 1 or len(stretch[0]) >= 2 * LENGTH - 1:
+                found.update(NOT_LETTER.sub("", x) for x in SPELLED.findall(" ".join(stretch)))
+            start = k
+    return found
+
+
 def words_of(text: str) -> set[str]:
     """The distinct words of a text, spelled-out ones included."""
-    low = text.lower()
-    found = set()
-    for w in set(low.split()):
-        if w.isalpha():
-            found.add(w)
-        elif len(bare := NOT_LETTER.sub("", w)) >= LENGTH:
-            found.add(bare)
-    if sum(1 for _ in SINGLE.finditer(low)) >= LENGTH:
-        found.update(NOT_LETTER.sub("", x) for x in SPELLED.findall(low))
-    return found
+    row = text.lower().split()
+    distinct = set(row)
+    return (set(map(word_in, distinct)) | spelled(row, {w for w in distinct if len(w) == 1 and w.isalpha() or not w.isalpha() and SINGLE.search(w)})) - {""}
 
 
 def _variants(word: str, rng: np.random.Generator) -> list[str]:
@@ -330,10 +351,12 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
 
 class Scorer:
-    """Scores texts, remembering the scores of words."""
+    """Scores texts, remembering the scores of words and of tokens."""
 
     def __init__(self, model: ToxicityModel):
         self.model, self.known = model, {}
+        self.tokens: dict[str, float] = {}
+        self.lone: set[str] = set()
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
@@ -341,32 +364,68 @@ class Scorer:
         values = np.round(similarity(words, self.model.landmarks) @ self.model.weights + self.model.bias, 4)
         self.known.update(zip(words, values.tolist()))
 
+    def learn_tokens(self, tokens: set[str]) -> None:
+        if len(self.tokens) + len(tokens) > REMEMBERED:
+            self.tokens, self.lone = {}, set()
+        words = [word_in(t) for t in tokens]
+        self.learn(sorted(set(words) - self.known.keys() - {""}))
+        self.tokens.update((t, self.known[w] if w else NO_WORDS) for t, w in zip(tokens, words))
+        self.lone.update(t for t in tokens if (len(t) == 1 and t.isalpha()) or (not t.isalpha() and SINGLE.search(t)))
+
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The score of each text, and its number of toxic sentences."""
         score, count = np.full(len(texts), NO_WORDS), np.zeros(len(texts), np.int32)
         if not len(self.model.weights):
             return score, count
-        sets = [words_of(t) if t else set() for t in texts]
-        new: set[str] = set().union(*sets) if sets else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        self.learn(sorted(new - self.known.keys()))
-        get = self.known.__getitem__
-        for i, words in enumerate(sets):
-            if words:
-                score[i] = max(map(get, words))
-                if score[i] > 0:
-                    bad = {w for w in words if self.known[w] > 0}
-                    count[i] = max(1, sum(1 for s in SENTENCE.split(texts[i]) if not bad.isdisjoint(words_of(s))))
+        rows = [t.lower().split() if t else [] for t in texts]
+        sets = [set(r) for r in rows]
+        new = set().union(*sets) - self.tokens.keys() if sets else set()
+        if len(self.tokens) + len(new) > REMEMBERED:
+            self.tokens, self.lone = {}, set()
+            new = set().union(*sets)
+        self.learn_tokens(new)
+        letters = [spelled(r, s & self.lone) for r, s in zip(rows, sets)]
+        more = set().union(*letters) - self.known.keys() if letters else set()
+        if more:
+            self.learn(sorted(more))
+        get = self.tokens.__getitem__
+        for i, tokens in enumerate(sets):
+            if tokens:
+                best = max(map(get, tokens))
+                for w in letters[i]:
+                    if w not in self.known:
+                        self.learn([w])
+                    best = max(best, self.known[w])
+                score[i] = best
+                if best > 0:
+                    count[i] = max(1, sum(1 for s in SENTENCE.split(texts[i]) if self._bad(s)))
         return score, count
 
+    def _bad(self, sentence: str) -> bool:
+        words = words_of(sentence)
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.learn(new)
+        return any(self.known.get(w, NO_WORDS) > 0 for w in words)
+
+
+#: The scorer of the model that this worker used last: a worker runs many tasks, which share its memory of words.
+_last: tuple[str, Scorer] | None = None
+
+
+def scorer_of(name: str, model: ToxicityModel) -> Scorer:
+    global _last
+    if _last is None or _last[0] != name:
+        _last = (name, Scorer(model))
+    return _last[1]
+
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, toxicity, toxic, toxic_sentences) of every row of ``docs``; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(name, shared.value)
 
         def kernel_of(part: pa.RecordBatch) -> list:
             value, count = scorer.texts(part.column(1).to_pylist())
@@ -379,10 +438,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns unchanged; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(name, shared.value)
         return lambda texts: scorer.texts(texts.to_pylist())[0] <= 0
 
     return keep_rows(docs, make)
