@@ -85,14 +85,17 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The drawn rows of ``docs`` with ``shard`` and ``shard_pos``; physically one shard after another, shuffled within."""
     spark = docs.sparkSession
     source = F.coalesce(F.col("source"), F.lit(UNKNOWN))
-    names = [c for c in docs.columns if c not in ("shard", "shard_pos")]
+    kept = [c for c in docs.columns if c not in ("shard", "shard_pos")]
+    # Columns go by position, so that no name of theirs meets one of ours.
+    names = [f"c{i}" for i in range(len(kept))]
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], "doc_id", "source", "text")
     # Sizes first, from two narrow columns: the number of blocks of a source follows from them.
     sized = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")).collect()
     sizes = {r["source"]: r["n"] for r in sized}
     want = quotas(sizes, params)
     shards = int(max(1, min(params.max_shards, -(-sum(r["bytes"] for r in sized) // params.shard_bytes))))
     if not sum(want.values()):
-        return docs.select(*names, F.lit(0).alias("shard"), F.lit(0).alias("shard_pos")).where(F.lit(False))
+        return docs.select(*names, F.lit(0).alias("shard"), F.lit(0).alias("shard_pos")).where(F.lit(False)).toDF(*kept, "shard", "shard_pos")
     order = sorted(want)
     total = sum(sizes[s] for s in order)
     count = {s: max(1, round(params.blocks_per_shard * shards * sizes[s] / total)) for s in order}
@@ -135,7 +138,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     local = F.xxhash64("_draw", F.lit(params.seed + 1))
     # The position is a running number in the shard: the window needs the rows of a shard together and sorted, as they are wanted.
     placed = drawn.withColumn("_local", local).repartition(max(1, shards), "_shard")
-    return placed.select(*names, F.col("_shard").alias("shard"), (F.row_number().over(Window.partitionBy("_shard").orderBy("_local", "doc_id")) - 1).alias("shard_pos"))
+    return placed.select(*names, F.col("_shard").alias("shard"), (F.row_number().over(Window.partitionBy("_shard").orderBy("_local", names[kept.index("doc_id")])) - 1).alias("shard_pos")).toDF(*kept, "shard", "shard_pos")
 
 
 def mixed(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
