@@ -10,7 +10,7 @@ pairs of neighbours in toxic documents and in no clean one. Copies of the witnes
 A sentence's score is that of its most toxic word; a document is toxic when any of its sentences is.
 
 Words are the letters, in lower case, of what white space separates; runs of single letters ("i d i o t") are also read
-as one word.
+as one word. A word of more than ``LONGEST`` letters is read as overlapping stretches of it, and scored as its most toxic one.
 
 Defined results:
 - null or empty text, or text without words: score ``NO_WORDS``, not toxic, 0 toxic sentences;
@@ -38,6 +38,8 @@ LENGTH = 4
 DECAY = 0.75
 NO_WORDS = -9.0
 SHORT = 8
+#: Longer words are scored as overlapping stretches of this length.
+LONGEST = 64
 #: Remembered scores of words, and of tokens, of a worker; beyond it the memory is emptied, which costs time only.
 REMEMBERED = 900_000
 
@@ -189,6 +191,11 @@ def word_in(token: str) -> str:
     return bare if len(bare) >= LENGTH else ""
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping stretches of a long one: the kernel's work grows with the square of a length."""
+    return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+
+
 def spelled(row: list[str], lone: set[str]) -> set[str]:
     """Words spelled out in single letters. ``lone``: the tokens of the row that hold a letter standing alone.
 
@@ -203,7 +210,8 @@ def spelled(row: list[str], lone: set[str]) -> set[str]:
         if k == len(at) or at[k] != at[k - 1] + 1:
             stretch = row[at[start] : at[k - 1] + 1]
             if len(stretch) > 1 or len(stretch[0]) >= 2 * LENGTH - 1:
-                found.update(NOT_LETTER.sub("", x) for x in SPELLED.findall(" ".join(stretch)))
+                for x in SPELLED.findall(" ".join(stretch)):
+                    found.update(pieces(NOT_LETTER.sub("", x)))
             start = k
     return found
 
@@ -212,7 +220,8 @@ def words_of(text: str) -> set[str]:
     """The distinct words of a text, spelled-out ones included."""
     row = text.lower().split()
     distinct = set(row)
-    return (set(map(word_in, distinct)) | spelled(row, {w for w in distinct if len(w) == 1 and w.isalpha() or not w.isalpha() and SINGLE.search(w)})) - {""}
+    lone = {w for w in distinct if (len(w) == 1 and w.isalpha()) or (not w.isalpha() and SINGLE.search(w))}
+    return ({x for w in map(word_in, distinct) for x in pieces(w)} | spelled(row, lone)) - {""}
 
 
 def _variants(word: str, rng: np.random.Generator) -> list[str]:
@@ -367,9 +376,9 @@ class Scorer:
     def learn_tokens(self, tokens: set[str]) -> None:
         if len(self.tokens) + len(tokens) > REMEMBERED:
             self.tokens, self.lone = {}, set()
-        words = [word_in(t) for t in tokens]
-        self.learn(sorted(set(words) - self.known.keys() - {""}))
-        self.tokens.update((t, self.known[w] if w else NO_WORDS) for t, w in zip(tokens, words))
+        words = [pieces(word_in(t)) for t in tokens]
+        self.learn(sorted({x for w in words for x in w} - self.known.keys() - {""}))
+        self.tokens.update((t, max(self.known[x] for x in w) if w[0] else NO_WORDS) for t, w in zip(tokens, words))
         self.lone.update(t for t in tokens if (len(t) == 1 and t.isalpha()) or (not t.isalpha() and SINGLE.search(t)))
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
