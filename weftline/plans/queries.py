@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import content as C
+from weftline.functions import entities as ENT
 from weftline.functions.entities import entities
 from weftline.operators import compress as X
+from weftline.operators import references as R
 from weftline.operators.dedup import exact_duplicates, recency_start
 from weftline.sources.messages import from_conversations, from_documents, utf16_length
 
@@ -80,6 +82,18 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.restore(X.compress(t), t)
 
 
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.importance(_turns(spark, sf_dir))
+
+
+def coreference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.coreference(from_documents(_docs(spark, sf_dir))).select("conv_id", "entity", "defined_at", F.array_join("referenced_at", ",").alias("referenced_at"))
+
+
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.near_pairs(from_documents(_docs(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compress_conversations": compressed_turns,
     "compress_documents": compressed,
@@ -93,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify": classify,
     "entities": entity_sets,
     "decisions": decide,
+    "importance": importance,
+    "coreference": coreference,
+    "fuzzy_pairs": fuzzy_pairs,
 }
 
 _T = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
@@ -155,4 +172,21 @@ r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGI
 SELECT conv_id, run, min(pos) AS first_pos, count(*) AS n, min(role) AS role, CAST(sum(length(content)) AS BIGINT) AS chars FROM r GROUP BY conv_id, run""",
     "exact_duplicates": f"WITH {_D} SELECT k.conv_id, k.pos, k.duplicate_of, d.id AS duplicate_of_id, length(k.content) AS content_length FROM k JOIN d ON d.conv_id = k.conv_id AND d.pos = k.duplicate_of WHERE k.pos <> k.duplicate_of",
     "classify": _classify_sql(),
+    "importance": f"""WITH {_T}, x AS (SELECT conv_id, pos, coalesce(content, '') AS x FROM t),
+e AS (SELECT DISTINCT conv_id, pos, lower(y) AS entity FROM (SELECT conv_id, pos, unnest(list_concat({", ".join(f"regexp_extract_all(x, {_q(p)})" for p in (ENT.CAMEL, ENT.PASCAL, ENT.SNAKE, ENT.VOWELLESS, R.PLACES))})) AS y FROM x)),
+r AS (SELECT a.conv_id, a.pos, count(DISTINCT b.pos) AS refs FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.entity = b.entity AND b.pos > a.pos GROUP BY 1, 2),
+s AS (SELECT x.conv_id, x.pos, coalesce(refs, 0) AS refs, least(40, CASE WHEN {_has(R.DECIDED)} THEN 15 ELSE 0 END + CASE WHEN {_has(R.CORRECTED)} THEN 25 ELSE 0 END + CASE WHEN {_has(R.LIMITED)} THEN 10 ELSE 0 END) AS s,
+  max(coalesce(refs, 0)) OVER (PARTITION BY x.conv_id) AS most, count(*) OVER (PARTITION BY x.conv_id) AS n FROM x LEFT JOIN r ON r.conv_id = x.conv_id AND r.pos = x.pos)
+SELECT conv_id, pos, refs, round(least(1.0::DOUBLE, CASE WHEN most > 0 THEN refs::DOUBLE / most * 0.5::DOUBLE ELSE 0 END + s::DOUBLE / 100 + pos::DOUBLE / greatest(n - 1, 1) * 0.1::DOUBLE), 6) AS importance FROM s""",
+    "coreference": f"""WITH {_D}, ids AS (SELECT DISTINCT conv_id, pos, entity FROM (SELECT conv_id, pos, unnest(list_concat({", ".join(f"regexp_extract_all(content, {_q(p)})" for p in (ENT.CAMEL, ENT.PASCAL, ENT.SNAKE))})) AS entity FROM d)),
+g AS (SELECT conv_id, entity, list(pos ORDER BY pos) AS places FROM ids GROUP BY ALL HAVING count(*) > 1)
+SELECT conv_id, entity, CAST(places[1] AS INTEGER) AS defined_at, array_to_string(places[2:], ',') AS referenced_at FROM g""",
+    "fuzzy_pairs": f"""WITH {_D}, m AS (SELECT d.conv_id, d.pos, length(d.content) AS size, [y FOR y IN [lower(trim(z, ' ')) FOR z IN string_split(d.content, chr(10))] IF y <> ''] AS l
+  FROM d JOIN e ON e.conv_id = d.conv_id AND e.pos = d.pos WHERE (d.conv_id, d.pos) NOT IN (SELECT (conv_id, pos) FROM k WHERE pos <> duplicate_of)),
+f AS (SELECT * FROM m WHERE len(l) >= 2), h AS (SELECT conv_id, pos, unnest(l[1:5]) AS line FROM f),
+c AS (SELECT x.conv_id, x.pos AS a, y.pos AS b FROM h x JOIN h y ON x.conv_id = y.conv_id AND x.line = y.line AND x.pos < y.pos GROUP BY ALL HAVING count(*) >= 3),
+w AS (SELECT conv_id, pos, line, count(*) AS n FROM (SELECT conv_id, pos, unnest(l) AS line FROM f) GROUP BY ALL),
+i AS (SELECT c.conv_id, c.a, c.b, sum(least(p.n, q.n)) AS common FROM c JOIN w p ON p.conv_id = c.conv_id AND p.pos = c.a JOIN w q ON q.conv_id = c.conv_id AND q.pos = c.b AND q.line = p.line GROUP BY ALL),
+r AS (SELECT i.*, common::DOUBLE / (len(x.l) + len(y.l) - common) AS s, x.size AS sa, y.size AS sb FROM i JOIN f x ON x.conv_id = i.conv_id AND x.pos = i.a JOIN f y ON y.conv_id = i.conv_id AND y.pos = i.b)
+SELECT conv_id, a, b, round(s, 6) AS similarity FROM r WHERE s >= 0.85 AND least(sa, sb) >= greatest(sa, sb) * 0.7""",
 }
