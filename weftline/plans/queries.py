@@ -12,6 +12,7 @@ from weftline.functions import entities as ENT
 from weftline.functions.entities import entities
 from weftline.operators import compress as X
 from weftline.operators import references as R
+from weftline.operators.contradiction import contradictions
 from weftline.operators.dedup import exact_duplicates, recency_start
 from weftline.sources.messages import from_conversations, from_documents, utf16_length
 
@@ -94,6 +95,10 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.near_pairs(from_documents(_docs(spark, sf_dir)))
 
 
+def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contradictions(_turns(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compress_conversations": compressed_turns,
     "compress_documents": compressed,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "importance": importance,
     "coreference": coreference,
     "fuzzy_pairs": fuzzy_pairs,
+    "contradictions": superseded,
 }
 
 _T = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
