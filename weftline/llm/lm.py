@@ -8,7 +8,8 @@ follow from the counts of counts. A pair's probability is its discounted share p
 word's continuation probability, which is itself discounted and interpolated with the uniform one. Workers map the arrays into memory
 and score every document whole.
 
-The order is 2: an order-3 count moves about three times what the disk budget of four times the input allows here.
+The order is 2. Order 3 was not built: by estimate from the distinct triples of a sample, it would shuffle and store more than
+four times the input.
 
 Words are known by 64-bit hashes, pairs by 64-bit keys whose upper part comes from the first word, and from ``SPREAD``
 values of the second so that a frequent word is spread over several buckets. Two pairs with one key would be counted
