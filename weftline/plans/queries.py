@@ -14,6 +14,7 @@ from weftline.operators import compress as X
 from weftline.operators import references as R
 from weftline.operators.contradiction import contradictions
 from weftline.operators.dedup import exact_duplicates, recency_start
+from weftline.operators.quality_metrics import quality
 from weftline.sources.messages import from_conversations, from_documents, utf16_length
 
 
@@ -99,6 +100,11 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contradictions(_turns(spark, sf_dir))
 
 
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    return quality(t, X.compress(t))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compress_conversations": compressed_turns,
     "compress_documents": compressed,
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coreference": coreference,
     "fuzzy_pairs": fuzzy_pairs,
     "contradictions": superseded,
+    "compression_quality": compression_quality,
 }
 
 _T = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
@@ -165,7 +172,7 @@ def _classify_sql() -> str:
     return f"""WITH s AS (SELECT doc_id, x, [y for y in [{array}] if y IS NOT NULL] AS found FROM (SELECT doc_id, text AS x FROM documents))
 SELECT doc_id, CASE WHEN len(found) > 0 THEN 'T0' WHEN len(regexp_split_to_array(x, '\\s+')) < 20 THEN 'T2' ELSE 'T3' END AS tier,
   CAST(CASE WHEN len(found) > 0 THEN round(least(0.95, 0.7 + len(found) * 0.05), 2) ELSE 0.65 END AS DOUBLE) AS confidence,
-  array_to_string(found, ',') AS reasons, list_has_any(found, {_names(sorted(C.HARD)).replace("code fence", "code_fence") if False else "[" + ", ".join(_q(w) for w in sorted(C.HARD)) + "]"}) AS hard FROM s"""
+  array_to_string(found, ',') AS reasons, list_has_any(found, [{", ".join(_q(w) for w in sorted(C.HARD))}]) AS hard FROM s"""
 
 
 ORACLE_SQL: dict[str, str] = {
