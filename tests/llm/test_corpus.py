@@ -64,6 +64,25 @@ def test_simhash_groups_equal_brute_force(spark):
     assert simhash.groups(docs.limit(0)).count() == 0 and simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_simhash_recall_by_distance(spark):
+    rng = np.random.default_rng(8)
+    distances, each = (15, 20, 24, 28, 32), 400
+    rows, node = [], 0
+    for d in distances:
+        for _ in range(each):
+            bits = rng.integers(0, 2, simhash.BITS, dtype=np.uint8)
+            other = bits.copy()
+            other[rng.choice(simhash.BITS, d, replace=False)] ^= 1
+            lanes = np.packbits(np.stack([bits, other]), axis=1).view(">i8").astype(np.int64)
+            rows += [(node, *lanes[0].tolist()), (node + 1, *lanes[1].tolist())]
+            node += 2
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{n} long" for n in simhash.LANE_NAMES))
+    got = {(r["a"], r["b"]) for r in simhash.near_pairs(nodes, simhash.SimHashParams()).collect()}
+    recall = {d: sum((a, a + 1) in got for a in range(2 * each * k, 2 * each * (k + 1), 2)) / each for k, d in enumerate(distances)}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
+    assert recall[15] == 1 and recall[20] >= 0.99 and recall[24] >= 0.99 and recall[28] >= 0.97 and recall[32] >= 0.9, recall
+
+
 def test_repeated_ids_keep_one_row(spark):
     docs = documents(spark, ["one two three four"]).union(documents(spark, ["one two three four"]))
     assert simhash.deduplicate(docs).count() == 1
