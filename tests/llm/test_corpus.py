@@ -112,6 +112,19 @@ def test_mixture_is_exact_and_disjoint(spark):
     assert {(r["doc_id"], r["shard"], r["shard_pos"]) for r in got} == {(r["doc_id"], r["shard"], r["shard_pos"]) for r in again}
 
 
+def test_scarce_source_gives_all_and_the_rest_is_apportioned(spark):
+    sizes = {f"s{i:02}": 500_000 for i in range(20)} | {mixing.UNKNOWN: 1}
+    want = mixing.quotas(sizes, mixing.PRODUCTION)
+    assert want[mixing.UNKNOWN] == 1 and sum(want.values()) == -(-sum(sizes.values()) * 9 // 10)
+    assert max(n for s, n in want.items() if s != mixing.UNKNOWN) - min(n for s, n in want.items() if s != mixing.UNKNOWN) <= 1
+    assert mixing.quotas({"a": 100, "b": 10, "c": 100}, mixing.MixParams(weights={"a": 1, "b": 5, "c": 2}, keep=0.5)) == {"a": 32, "b": 10, "c": 63}
+    hot = mixing.quotas({"src0": 95_000} | {f"src{i}": 5_000 for i in range(1, 20)}, mixing.PRODUCTION)
+    assert hot["src0"] >= 0.75 * 95_000 and all(hot[f"src{i}"] == 5_000 for i in range(1, 20))
+    docs = documents(spark, [f"text {i}" for i in range(400)], ["a", "b"]).union(spark.createDataFrame([(999, "stray", "en", None, 5, "x", "y")], DOCS))
+    got = mixing.mix(docs, mixing.PRODUCTION).collect()
+    assert Counter(r["source"] for r in got) == {"a": 180, "b": 180, None: 1}
+
+
 def test_splitting_tree_sums():
     rng = np.random.default_rng(3)
     blocks = np.array([40, 7, 0, 13])

@@ -1,7 +1,9 @@
 """Operator 3: mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source has a quota of documents in proportion to its target weight, drawn without replacement; the mixture is as
-large as the scarcest source allows. A source's documents fall into blocks by a hash; blocks are numbered in a random
+Every source has a quota of documents in proportion to its target weight, drawn without replacement. With ``keep``, the
+mixture is that part of all weighted documents: a source that can't fill its share gives all it has, and the rest is
+apportioned over the others by their weights. Without it, the shares are exact and the mixture is as large as the
+scarcest source allows. ``PRODUCTION`` is what the query and the pipeline use. A source's documents fall into blocks by a hash; blocks are numbered in a random
 permutation, and those that hold the quota are drawn, the last one in part, so that the quota is exact. A tree then
 splits the drawn blocks among the output shards: at each node the vector of block quotas of all sources is divided by
 one multivariate-hypergeometric draw, so that both halves have exactly the blocks that their shards need, down to single
@@ -15,12 +17,13 @@ Defined results:
 - a null source is a source of its own, named ``unknown`` for weights; a null text is a document like any other;
 - rows with the same id, and all rows with a null id, are drawn or left together; a quota is exact but for such rows at its
   edge, of which all are drawn; ties of the local order are broken by id;
-- a source without a weight, or with weight 0, is left out; sources that have a weight but no document are ignored;
+- a source without a weight has weight ``other``; one with weight 0 is left out; sources that have a weight but no document are ignored;
 - an empty table gives no rows; other columns pass through unchanged, and the added columns replace any of the same name.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,9 +37,13 @@ UNKNOWN = "unknown"
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights: by source; None gives every source its size to the power ``temperature``."""
+    """weights: by source; None gives every source its size to the power ``temperature``. other: of sources not in weights.
+
+    keep: part of the weighted documents to draw; None draws the largest mixture with exact shares."""
 
     weights: dict[str, float] | None = field(default=None, hash=False)
+    other: float = 0.0
+    keep: float | None = None
     temperature: float = 0.7
     shard_bytes: int = 32 << 20
     max_shards: int = 100_000
@@ -44,22 +51,39 @@ class MixParams:
     seed: int = 20_240_601
 
 
+#: Target weights of the registered query and the pipeline: the general source ten times any other, which all are equal.
+PRODUCTION = MixParams(weights={"src0": 10.0}, other=1.0, keep=0.9)
+
+
 def quotas(sizes: dict[str, int], params: MixParams) -> dict[str, int]:
-    """Documents to draw from each source: exact shares, rounded by largest remainder, of the largest mixture possible."""
-    weight = {s: n**params.temperature for s, n in sizes.items()} if params.weights is None else {s: float(params.weights.get(s, 0)) for s in sizes}
+    """Documents to draw from each source: shares of the mixture, rounded by largest remainder."""
+    weight = {s: n**params.temperature for s, n in sizes.items()} if params.weights is None else {s: float(params.weights.get(s, params.other)) for s in sizes}
     weight = {s: w for s, w in weight.items() if w > 0 and sizes[s] > 0}
     if not weight:
         return {}
     total = sum(weight.values())
-    size = min(int(sizes[s] * total / w + 1e-9) for s, w in weight.items())
+    if params.keep is None:
+        size = min(int(sizes[s] * total / w + 1e-9) for s, w in weight.items())
+    else:
+        size = min(sum(sizes[s] for s in weight), math.ceil(params.keep * sum(sizes[s] for s in weight)))
+    out: dict[str, int] = {}
+    # Sources that can't fill their share give all; that raises the others' shares, until all that are left can.
+    while params.keep is not None and (short := [s for s, w in weight.items() if size * w >= sizes[s] * total]):
+        for s in short:
+            out[s] = sizes[s]
+            size -= sizes[s]
+            del weight[s]
+        if not weight:
+            return out
+        total = sum(weight.values())
     share = {s: size * w / total for s, w in weight.items()}
-    out = {s: min(sizes[s], int(x)) for s, x in share.items()}
+    part = {s: min(sizes[s], int(x)) for s, x in share.items()}
     for s in sorted(share, key=lambda s: (int(share[s]) - share[s], s)):
-        if sum(out.values()) >= size:
+        if sum(part.values()) >= size:
             break
-        if out[s] < sizes[s]:
-            out[s] += 1
-    return out
+        if part[s] < sizes[s]:
+            part[s] += 1
+    return out | part
 
 
 def split(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:

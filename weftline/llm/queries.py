@@ -31,7 +31,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_read(spark, sf_dir, "documents"), mixing.PRODUCTION)
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
