@@ -193,6 +193,35 @@ def test_perplexity_equals_brute_force(spark):
     assert lm.perplexity(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_perplexity_of_higher_order_equals_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(words(rng, 40)) + "." for _ in range(60)] + ["", None, "unique zebra!!"]
+    got = {r["doc_id"]: r for r in lm.perplexity(documents(spark, texts), lm.LmParams(order=order, bucket_bytes=2000)).collect()}
+    read = {i: ["<s>"] * (order - 1) + lm.TOKEN.findall(t.lower()) + ["</s>"] for i, t in enumerate(texts) if t is not None}
+    count = {order: Counter(tuple(w[j : j + order]) for w in read.values() for j in range(len(w) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    off = {k: lm.discounts(*(Counter(count[k].values())[m] for m in (1, 2, 3, 4))) for k in count}
+    after = defaultdict(list)
+    for k in count:
+        for g, n in count[k].items():
+            after[g[:-1]].append(n)
+    size = len({w for r in read.values() for w in r})
+
+    def p(g):
+        if not g:
+            return 1 / size
+        k, ns = len(g), after[g[:-1]]
+        n = count[k][g]
+        return (n - off[k][min(n, 3)]) / sum(ns) + sum(off[k][min(m, 3)] for m in ns) / sum(ns) * p(g[1:])
+
+    for i, w in read.items():
+        logs = [np.log2(p(tuple(w[j : j + order]))) for j in range(len(w) - order + 1)]
+        assert got[i]["log_prob"] == pytest.approx(float(sum(logs)), abs=1e-3) and got[i]["n_tokens"] == len(logs)
+    assert got[61]["log_prob"] is None
+
+
 def test_pipeline_on_a_small_folder(spark, tmp_path):
     rng = random.Random(4)
     texts = [" ".join(words(rng, 80)) + "." for _ in range(60)]

@@ -1,15 +1,15 @@
 """Operator 6: perplexity under an interpolated modified Kneser-Ney model.
 
-Tokens are words and runs of marks, in lower case; a document is read from a start mark to an end mark. Pairs of words
-are counted over all documents: a task sums its own pairs first, then each bucket of pairs is summed by one task, which
-writes its sorted hash array to the shared folder and passes on what the model needs for each word: how often it is
-followed, by how many words once, twice or more often, and how many words it follows. The three discounts of each level
-follow from the counts of counts. A pair's probability is its discounted share plus the context's left-over mass times the
-word's continuation probability, which is itself discounted and interpolated with the uniform one. Workers map the arrays into memory
-and score every document whole.
+Tokens are words and runs of marks, in lower case; a document is read from ``order - 1`` start marks to an end mark. The
+runs of ``order`` words are counted over all documents: a task sums its own first, then each bucket of them is summed by
+one task, which writes its sorted hash array to the shared folder. Each lower level counts the distinct words before a
+run, so a bucket's distinct runs go on without their first word to the buckets of the next level, down to pairs; those
+give for each word how often it is followed, by how many words once, twice or more often, and how many words it follows.
+The three discounts of each level follow from its counts of counts. A run's probability is its discounted share plus the
+context's left-over mass times the probability of the run without its first word; the last level is interpolated with
+the uniform one. Workers map the arrays into memory and score every document whole.
 
-The order is 2. Order 3 was not built: by estimate from the distinct triples of a sample, it would shuffle and store more than
-four times the input.
+The registered query has order 3 (``PRODUCTION``).
 
 Words are known by 64-bit hashes, pairs by 64-bit keys whose upper part comes from the first word, and from ``SPREAD``
 values of the second so that a frequent word is spread over several buckets. Two pairs with one key would be counted
@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,15 @@ from pyspark.sql import types as T
 
 from weftline.llm import hashstore
 from weftline.llm.batches import map_rows, text_slices
-from weftline.runtime import local_path, materialize, scratch, ship
+from weftline.runtime import local_path, materialize, scratch, ship, shuffles_removed
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 START, END = np.uint64(1), np.uint64(2)
 SPREAD = np.uint64(7)
 #: Remembered word hashes of a worker; beyond it the memory is emptied, which costs time only.
 REMEMBERED = 1_000_000
-#: Pairs that a counting task holds before it hands them on.
-HELD = 6_000_000
+#: Runs of words that a counting task holds before it hands them on.
+HELD = 3_000_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 STATS = "w long, followed long, n1 long, n2 long, n3 long, follows long, c1 long, c2 long, c3 long, c4 long"
@@ -54,18 +55,22 @@ STATS = "w long, followed long, n1 long, n2 long, n3 long, follows long, c1 long
 
 @dataclass(frozen=True)
 class LmParams:
+    order: int = 2
     #: Text bytes for each bucket of pairs.
     bucket_bytes: int = 16 << 20
     max_bits: int = 16
 
 
+PRODUCTION = LmParams(order=3)
+
+
 @dataclass
 class Model:
-    pairs: str
-    pair_bits: int
+    grams: list[str]  # folders of pairs, triples, ...
+    bits: int
     words: str
     word_bits: int
-    discounts: np.ndarray  # of pairs, by min(count, 3); [0] is 0
+    discounts: list[np.ndarray]  # of pairs, triples, ..., by min(count, 3); [0] is 0
     unseen: float  # probability of a word that was never counted
 
 
@@ -83,8 +88,8 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
-def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, second words) of all pairs, with (texts,) numbers of pairs; a null text has none."""
+def read(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(first, ..., last words of all runs of ``order`` words), with (texts,) numbers of runs; a null text has none."""
     global _hashes
     if len(_hashes) > REMEMBERED:
         _hashes = Hashes()
@@ -93,14 +98,17 @@ def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(r) + 1 if t is not None else 0 for r, t in zip(rows, texts)), np.int64, len(rows))
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    second = np.full(total, END, np.uint64)
+    last = np.full(total, END, np.uint64)
     inner = np.ones(total, bool)
     inner[ends[sizes > 0] - 1] = False
-    second[inner] = np.fromiter((h for r in rows for h in map(get, r)), np.uint64, total - int((sizes > 0).sum()))
-    first = np.empty(total, np.uint64)
-    first[1:] = second[:-1]
-    first[(ends - sizes)[sizes > 0]] = START
-    return np.stack([first, second]), sizes
+    last[inner] = np.fromiter((h for r in rows for h in map(get, r)), np.uint64, total - int((sizes > 0).sum()))
+    place = np.arange(total) - np.repeat(ends - sizes, sizes)
+    grams = [last]
+    for back in range(1, order):
+        before = np.full(total, START, np.uint64)
+        before[back:] = np.where(place[back:] >= back, last[: max(0, total - back)], START)
+        grams.insert(0, before)
+    return grams, sizes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,6 +123,37 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (upper & np.uint64(0xFFFF000000000000)) | (lower >> np.uint64(16))
 
 
+def context_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of contexts of two words or more."""
+    h = words[0]
+    for k, w in enumerate(words[1:], 2):
+        h = _mix((h + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) ^ _mix(w))
+    return h
+
+
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of runs of words; from three words on, the upper part is that of the context's key, so that a context's runs share a bucket."""
+    if len(words) == 2:
+        return pair_keys(*words)
+    context = context_keys(words[:-1])
+    lower = _mix(context * np.uint64(0x9E3779B97F4A7C15) ^ _mix(words[-1]))
+    return (context & np.uint64(0xFFFF000000000000)) | (lower >> np.uint64(16))
+
+
+def _gram_schema(order: int) -> str:
+    return ", ".join(["bucket int", *(f"w{i} long" for i in range(order)), "n long"])
+
+
+def _gram_rows(key: np.ndarray, words: list[np.ndarray], n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    # Runs with one first word stand together, so that the shuffle compresses.
+    order = np.lexsort((*words[-2::-1], bucket))
+    names = ["bucket", *(f"w{i}" for i in range(len(words))), "n"]
+    for k in range(0, len(order), 1 << 17):
+        o = order[k : k + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[o]), *(pa.array(w[o].view(np.int64)) for w in words), pa.array(n[o].astype(np.int64))], names=names)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct sorted keys, place of one row of each, summed counts)."""
     order = np.argsort(keys, kind="stable")
@@ -124,28 +163,22 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[starts], order[starts], sums
 
 
-def _count_rows(bits: int):
+def _count_rows(bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, first, second, n = (np.concatenate(x) for x in zip(*held))
+            key, n, *words = (np.concatenate(x) for x in zip(*held))
             held.clear()
             key, at, n = _summed(key, n)
-            bucket = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
-            # Pairs of one first word stand together, so that the shuffle compresses.
-            first, second = first[at], second[at]
-            order = np.lexsort((first, bucket))
-            for k in range(0, len(order), 1 << 17):
-                o = order[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[o]), pa.array(first[o].view(np.int64)), pa.array(second[o].view(np.int64)), pa.array(n[o].astype(np.int64))], names=["bucket", "u", "v", "n"])
+            yield from _gram_rows(key, [w[at] for w in words], n, bits)
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                (first, second), _ = read(part.column(0).to_pylist())
-                key, at, n = _summed(pair_keys(first, second), None)
-                held.append((key, first[at], second[at], n.astype(np.int64)))
+                grams, _ = read(part.column(0).to_pylist(), order)
+                key, at, n = _summed(gram_keys(grams), None)
+                held.append((key, n.astype(np.int64), *(w[at] for w in grams)))
                 size += len(key)
                 if size > HELD:
                     yield from out()
@@ -156,6 +189,39 @@ def _count_rows(bits: int):
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    parts: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        for number in np.unique(b).tolist():
+            parts.setdefault(number, []).append(batch.filter(pa.array(b == number)) if (b != number).any() else batch)
+    for number in sorted(parts):
+        yield number, pa.Table.from_batches(parts.pop(number))
+
+
+def _lower_rows(folder: str, bits: int, order: int):
+    """Sum and save the runs of ``order`` words, three or more, with their contexts; pass on each distinct run without its first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in _by_bucket(batches):
+            words = [table.column(1 + i).combine_chunks().to_numpy().view(np.uint64) for i in range(order)]
+            key, at, n = _summed(gram_keys(words), table.column(1 + order).combine_chunks().to_numpy())
+            del table
+            words = [w[at] for w in words]
+            context, place = np.unique(context_keys(words[:-1]), return_inverse=True)
+            hashstore.put(folder, f"followed-{number}", np.bincount(place, n, len(context)).astype(np.int64))
+            for k, kind in ((1, n == 1), (2, n == 2), (3, n > 2)):
+                hashstore.put(folder, f"kinds{k}-{number}", np.bincount(place[kind], minlength=len(context)).astype(np.int32))
+            hashstore.put(folder, f"context-{number}", context)
+            hashstore.put(folder, f"of-{number}", np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64))
+            hashstore.put(folder, f"n-{number}", np.minimum(n, 2**31 - 1).astype(np.int32))
+            hashstore.put(folder, f"key-{number}", key)  # last: a bucket with keys is whole
+            lower, at, n = _summed(gram_keys(words[1:]), None)
+            yield from _gram_rows(lower, [w[at] for w in words[1:]], n, bits)
+
+    return run
+
+
 def _sum_rows(folder: str, bits: int):
     def save(number: int, table: pa.Table) -> tuple[np.ndarray, ...]:
         u, v, n = (table.column(i).combine_chunks().to_numpy() for i in (1, 2, 3))
@@ -174,13 +240,8 @@ def _sum_rows(folder: str, bits: int):
         return (words.view(np.int64), total(mine, n), *kinds, total(theirs), *(int((n == k).sum()) for k in (1, 2, 3, 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            b = batch.column(0).to_numpy()
-            for number in np.unique(b).tolist():
-                parts.setdefault(number, []).append(batch.filter(pa.array(b == number)) if (b != number).any() else batch)
-        for number in sorted(parts):
-            words, *values, c1, c2, c3, c4 = save(number, pa.Table.from_batches(parts.pop(number)))
+        for number, table in _by_bucket(batches):
+            words, *values, c1, c2, c3, c4 = save(number, table)
             for k in range(0, len(words), 1 << 17):
                 stop = k + (1 << 17)
                 m = len(words[k:stop])
@@ -209,12 +270,16 @@ def train(docs: DataFrame, params: LmParams = LmParams()) -> Model | None:
     if not size:
         return None
     bits = int(np.clip(np.ceil(np.log2(max(1.0, size / params.bucket_bytes))), 0, params.max_bits))
-    folder = local_path(scratch(spark, "lm-pairs"))
-    os.makedirs(folder, exist_ok=True)
-    pairs = texts.mapInArrow(_count_rows(bits), "bucket int, u long, v long, n long")
-    stats = pairs.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_sum_rows(folder, bits), STATS)
+    folders = [local_path(scratch(spark, f"lm-grams-{k}")) for k in range(2, params.order + 1)]
+    for folder in folders:
+        os.makedirs(folder, exist_ok=True)
+    grams = texts.mapInArrow(_count_rows(bits, params.order), _gram_schema(params.order))
+    for k in range(params.order, 2, -1):
+        grams = grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_lower_rows(folders[k - 2], bits, k), _gram_schema(k - 1))
+    stats = grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_sum_rows(folders[0], bits), STATS)
     names = [x.split()[0] for x in STATS.split(", ")][1:]
-    words = materialize(stats.groupBy("w").agg(*[F.sum(n).alias(n) for n in names]), "lm-words")
+    with shuffles_removed(spark):
+        words = materialize(stats.groupBy("w").agg(*[F.sum(n).alias(n) for n in names]), "lm-words")
     follows = F.col("follows")
     of = [F.sum(f"c{k}").alias(f"c{k}") for k in (1, 2, 3, 4)] + [F.sum(F.when(follows == k, 1).otherwise(0)).alias(f"f{k}") for k in (1, 2, 3, 4)] + [F.sum(F.when(follows > 2, 1).otherwise(0)).alias("more"), F.sum(follows).alias("types"), F.count("*").alias("v")]
     s = words.agg(*of).first()
@@ -226,40 +291,44 @@ def train(docs: DataFrame, params: LmParams = LmParams()) -> Model | None:
     left = (F.col("n1") * float(high[1]) + F.col("n2") * float(high[2]) + F.col("n3") * float(high[3])) / F.col("followed")
     kept = words.select(F.col("w").alias("key"), ((follows - off) / float(s["types"]) + unseen).alias("p"), F.col("followed").cast("double").alias("followed"), F.when(F.col("followed") > 0, left).otherwise(1.0).alias("left"))
     word_bits = min(params.max_bits, bits)
-    return Model(folder, bits, hashstore.write(kept, "lm-words", word_bits), word_bits, high, unseen)
+    upper = [discounts(*sum(np.load(p) for p in Path(folder).glob("of-*.npy")).tolist()) for folder in folders[1:]]
+    return Model(folders, bits, hashstore.write(kept, "lm-words", word_bits), word_bits, [high, *upper], unseen)
+
+
+def _looked_up(keys: np.ndarray, store: hashstore.Store, columns: dict[str, float]) -> list[np.ndarray]:
+    """The columns of a store for each key; ``columns``: what keys that aren't there get."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    out = {c: np.full(len(distinct), missing, np.float64) for c, missing in columns.items()}
+    for number, which, at in store.find(distinct):
+        for c, values in out.items():
+            values[which] = store.column(c, number)[at]
+    return [values[place] for values in out.values()]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.pairs = hashstore.Store(model.pairs, "key", model.pair_bits)
+        self.grams = [hashstore.Store(folder, "key", model.bits) for folder in model.grams]
+        self.contexts = [hashstore.Store(folder, "context", model.bits) for folder in model.grams]
         self.words = hashstore.Store(model.words, "key", model.word_bits)
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens, log2 probability) of each text."""
-        (first, second), sizes = read(texts)
+        grams, sizes = read(texts, len(self.grams) + 1)
         out = np.zeros(len(sizes))
-        if not len(first):
+        if not len(grams[0]):
             return sizes, out
-        words = np.unique(np.concatenate([second, np.array([START], np.uint64)]))
-        p, followed, left = np.full(len(words), self.model.unseen), np.ones(len(words)), np.ones(len(words))
-        for number, which, place in self.words.find(words):
-            p[which] = self.words.column("p", number)[place]
-            followed[which] = self.words.column("followed", number)[place]
-            left[which] = self.words.column("left", number)[place]
-        keys = pair_keys(first, second)
-        order = np.argsort(keys)
-        sorted_keys = keys[order]
-        starts = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
-        distinct = sorted_keys[starts]
-        n = np.zeros(len(distinct))
-        for number, which, place in self.pairs.find(distinct):
-            n[which] = self.pairs.column("n", number)[place]
-        counts = np.empty(len(keys))
-        counts[order] = n[np.cumsum(starts) - 1]
-        u, v = np.searchsorted(words, first), np.searchsorted(words, second)
-        off = self.model.discounts[np.minimum(counts, 3).astype(np.int64)]
-        logs = np.log2((counts - off) / np.maximum(followed[u], 1) + left[u] * p[v])
+        (p,) = _looked_up(grams[-1], self.words, {"p": self.model.unseen})
+        for k, (store, contexts, off) in enumerate(zip(self.grams, self.contexts, self.model.discounts), 2):
+            run = grams[-k:]
+            (counts,) = _looked_up(gram_keys(run), store, {"n": 0})
+            if k == 2:
+                followed, left = _looked_up(run[0], self.words, {"followed": 1, "left": 1})
+            else:
+                followed, *kinds = _looked_up(context_keys(run[:-1]), contexts, {"followed": 0, "kinds1": 0, "kinds2": 0, "kinds3": 0})
+                left = np.where(followed > 0, sum(off[i] * x for i, x in enumerate(kinds, 1)) / np.maximum(followed, 1), 1)
+            p = (counts - off[np.minimum(counts, 3).astype(np.int64)]) / np.maximum(followed, 1) + left * p
+        logs = np.log2(p)
         some = sizes > 0
         out[some] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[some])
         return sizes, out
@@ -271,8 +340,8 @@ _last: tuple[str, Scorer] | None = None
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer, kept from task to task."""
     global _last
-    if _last is None or _last[0] != model.pairs:
-        _last = (model.pairs, Scorer(model))
+    if _last is None or _last[0] != model.words:
+        _last = (model.words, Scorer(model))
     return _last[1]
 
 

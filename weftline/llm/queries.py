@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.perplexity(_read(spark, sf_dir, "documents"))
+    return lm.perplexity(_read(spark, sf_dir, "documents"), lm.PRODUCTION)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
