@@ -193,6 +193,21 @@ def test_perplexity_equals_brute_force(spark):
     assert lm.perplexity(docs.limit(0)).count() == 0
 
 
+def test_embeddings_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(6)
+    rows, copies = [], []
+    for size, n, near in ((32, 200, 20), (48, 120, 40), (16, 12, 6)):
+        base = rng.standard_normal((n, size))
+        first = len(rows)
+        rows += [(first + i, v.tolist()) for i, v in enumerate(base)]
+        copies += [(first + i, len(rows) + i) for i in range(near)]
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(base[:near] + 0.05 * rng.standard_normal((near, size)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["keep_id"] for r in embdedup.groups(table).collect()}
+    assert len(got) == len(rows) and all(got[a] == got[b] for a, b in copies)
+    assert len(set(got.values())) == 332
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_perplexity_of_higher_order_equals_brute_force(spark, order):
     rng = random.Random(order)

@@ -12,8 +12,9 @@ stay in proportion; the number of tables follows from the chance that a pair at
 one key's rows a spanning forest of the verified pairs is kept instead of all pairs. Nothing is capped.
 
 Defined results:
-- null, empty, zero or not finite vectors, and those whose length isn't the most common one (the longer if tied), take
-  part by exact equality only (null ones not at all), and are else their own group;
+- vectors of each length are searched by themselves, with rotations of their own; up to ``FEW`` of a length are all compared;
+- null, empty, zero or not finite vectors take part by exact equality only (null ones not at all), and are else their own
+  group;
 - equal vectors are one group from the start; repeated ids count once, in the smallest of the groups of their vectors;
 - rows with a null id give no row; an empty table gives no rows; other columns are ignored.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,10 @@ class Codes:
     tables: int
 
 
+#: So many vectors of one length are compared all with all: too few to learn rotations from.
+FEW = 64
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     """(rows, size) vectors of length 1."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -175,6 +181,9 @@ def _near(limit: float, size: int):
 def near_pairs(vectors: DataFrame, size: int, n: int, params: EmbeddingParams) -> DataFrame:
     """(a, b), a < b: verified pairs, a spanning forest for each key. ``vectors``: (node, embedding)."""
     spark = vectors.sparkSession
+    if n <= FEW:
+        rows = vectors.select(F.lit(0).cast("long").alias("key"), "node", "embedding").coalesce(1)
+        return rows.mapInArrow(_near(params.min_cosine - 1e-9, size), "a long, b long").dropDuplicates(["a", "b"])
     codes = learn(vectors, size, n, params)
     shared = spark.sparkContext.broadcast(codes)
     each = codes.tables * codes.width
@@ -202,10 +211,13 @@ def groups(table: DataFrame, params: EmbeddingParams = EmbeddingParams()) -> Dat
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     sizes = same.where(fine).groupBy(F.size("embedding").alias("d")).count().collect()
     placed = same.select("node", F.explode("ids").alias("vec_id"))
-    if sizes:
-        best = max(sizes, key=lambda r: (r["count"], r["d"]))
-        vectors = materialize(same.where(fine & (F.size("embedding") == best["d"])).select("node", "embedding"), "embedding-vectors")
-        root = components(near_pairs(vectors, best["d"], best["count"], params))
+    pairs = []
+    for r in sorted(sizes, key=lambda r: r["d"]):
+        if r["count"] > 1:
+            vectors = materialize(same.where(fine & (F.size("embedding") == r["d"])).select("node", "embedding"), "embedding-vectors")
+            pairs.append(materialize(near_pairs(vectors, r["d"], r["count"], params), "embedding-pairs"))
+    if pairs:
+        root = components(reduce(DataFrame.union, pairs).dropDuplicates(["a", "b"]))
         placed = placed.join(root, "node", "left").select("vec_id", F.coalesce("root", "node").alias("keep_id"))
     else:
         placed = placed.select("vec_id", F.col("node").alias("keep_id"))
