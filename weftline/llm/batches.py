@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,31 @@ from weftline.runtime import ship
 SLICE_BYTES = 4 << 20
 
 
+#: What this worker remembers from task to task, and whose it is. A worker runs the tasks of all operators in turn, so it
+#: holds the memory of one of them at a time.
+_held: tuple[Hashable, Any] | None = None
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine: the Arrow pool and the C allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def remembered(owner: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's memory for ``owner``, made when first asked for; that of any other owner is dropped."""
+    global _held
+    if _held is None or _held[0] != owner:
+        _held = None
+        gc.collect()
+        give_back()
+        _held = (owner, make())
+    return _held[1]
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about SLICE_BYTES of ``column``; one row is never cut."""
     n = batch.num_rows
@@ -50,6 +78,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, make: Call
         for batch in batches:
             for part in text_slices(batch, text):
                 yield pa.RecordBatch.from_arrays(kernel(part), names=names)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -68,5 +97,6 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.nd
             for part in text_slices(batch, at):
                 mask = np.asarray(kernel(part.column(part.schema.get_field_index(at))), dtype=bool)
                 yield part if mask.all() else part.filter(pa.array(mask))
+        give_back()
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)

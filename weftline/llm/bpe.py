@@ -1,15 +1,16 @@
 """Operator 8: byte-level BPE encoding and decoding.
 
-Texts are cut into words by the vocabulary's pattern. The distinct words of all texts are encoded once: a Spark array
-fold starts from a word's single bytes and merges, again and again, the leftmost pair of lowest rank, looked up in a literal
-rank map (an array of small maps, as a Spark map is searched entry by entry). Pieces are written in hexadecimal, two
-digits a byte, inside the fold. The encoded words go to sorted hash arrays in the shared folder; each text's words are
-then looked up there by the workers, so neither texts nor tokens are shuffled. Decoding joins the pieces' bytes.
+Texts are cut into words as the vocabulary's pattern says, for all characters of a slice of texts at once (``word_starts``).
+The distinct words of all texts are encoded once: a Spark array fold starts from a word's single bytes and merges, again
+and again, the leftmost pair of lowest rank, looked up in a literal rank map (an array of small maps, as a Spark map is
+searched entry by entry). Pieces are written in hexadecimal, two digits a byte, inside the fold. The encoded words go to
+sorted hash arrays in the shared folder; each text's words are then looked up there by the workers, so neither texts nor
+tokens are shuffled. Decoding joins the pieces' bytes.
 
 Defined results:
 - a null text has null ids, no tokens (0) and a null decoding; an empty text has an empty array and decodes to itself;
-- words of any length are merged in full; the fold's work grows with the square of a word's length, so those of more than
-  ``LONGEST`` bytes are merged by the worker that meets them, with a heap;
+- words of any length, and so very long texts, are merged in full; the fold's work grows with the square of a word's length,
+  so those of more than ``LONGEST`` bytes are merged by the worker that meets them, with a heap;
 - rows with a null id, repeated rows and ties each give a row; an empty table gives no rows; other columns are ignored;
 - decoding: an id outside the vocabulary, or a null id, adds nothing; bytes that are not UTF-8 become U+FFFD.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -30,18 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm import hashstore
-from weftline.llm.batches import map_rows
-from weftline.runtime import materialize
+from weftline.llm import cutting, hashstore
+from weftline.llm.batches import give_back, map_rows, remembered, text_slices, utf8_bytes
+from weftline.runtime import materialize, ship
 
-#: The word pattern of the vocabulary; in Java, \s covers all white space only under (?U).
+#: The word pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-JAVA_PATTERN = r"(?U)" + PATTERN
 BUCKETS = 65_536
 NONE = 2**31 - 1
 LONGEST = 256
-#: Remembered words of a worker; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 1_200_000
+#: Keys of words that a task remembers as seen; beyond it they are forgotten, which costs time only.
+SEEN = 4_000_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -135,7 +136,7 @@ def _fold(word: Column, rank) -> Column:
 def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges in Python, by a heap over linked pieces, in time n log n.
 
-    For very long words, for those that the JVM's Unicode tables cut otherwise, and for tests.
+    For very long words, for two words with one key, and for tests.
     """
     n = len(word)
     end = list(range(1, n + 1))  # the piece that starts at i ends here; 0: merged into the one before it
@@ -161,71 +162,154 @@ def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+# ----------------------------------------------------------------------------------------------------------------- words
+
+OTHER, LETTER, NUMBER, SPACE = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What the pattern takes every code point for."""
+    out = np.zeros(0x110000, np.uint8)
+    points = cutting.code_points()
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def word_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the words start in the UTF-8 bytes of texts laid end to end; ``first``: where the texts that aren't empty start.
+
+    The pattern's own cuts, found for all characters at once: a run of one kind is a word; it takes in a space before it;
+    of longer white space before a word, all but its last character is a word; short endings after an apostrophe are words.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    at, low, kind = cutting.characters(data, _kinds())
+    n = len(kind)
+    fresh = np.zeros(n, bool)
+    fresh[first if at is None else np.searchsorted(at, first)] = True
+    white = kind == SPACE
+    start = fresh.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    joined = np.zeros(n, bool)
+    joined[1:] = (low[:-1] == 32) & ~fresh[1:] & ~white[1:]
+    start &= ~joined
+    start[:-1] |= white[:-1] & ~white[1:] & ~fresh[1:]
+    marks = np.flatnonzero(start & (low == 39))
+    if len(marks):
+
+        def after(k: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = np.minimum(marks + k, n - 1)
+            same = before & (marks + k < n) & ~fresh[place]
+            return np.where(same, low[place], 0), same
+
+        one, same = after(1, np.ones(len(marks), bool))
+        two, _ = after(2, same)
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        for which, size in ((short, 2), (long, 3)):
+            start[marks[which] + 1] = False
+            end = marks[which] + size
+            start[end[end < n]] = True
+    places = np.flatnonzero(start)
+    return places if at is None else at[places]
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a slice of texts one after another, and how many each text has."""
+    data, offsets = utf8_bytes(texts)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    places = word_starts(data, offsets[:-1][np.diff(offsets) > 0])
+    ends = np.append(places, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+    return words, np.diff(np.searchsorted(places, offsets))
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    data, offsets = utf8_bytes(words)
+    return cutting.keys(data, offsets[:-1], offsets[1:])
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word) of the distinct words of a task, some of them again and again if there are very many."""
+    remembered("bpe-words", lambda: None)
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            words = cut_words(part.column(0))[0].dictionary_encode().dictionary
+            keys = word_keys(words)
+            fresh = ~np.isin(keys, seen)
+            seen = np.union1d(seen, keys) if len(seen) + len(keys) < SEEN else keys
+            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), words.filter(pa.array(fresh))], names=["key", "word"])
+    give_back()
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(key, word) of the distinct words of all texts."""
+    ship(docs.sparkSession)
+    return docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_word_rows, "key long, word string").distinct()
+
+
 def encoded_words(docs: DataFrame, params: BpeParams) -> DataFrame:
-    """(word, ids) of the distinct words of all texts."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)))).alias("word")).distinct()
-    return words.where(F.octet_length("word") <= LONGEST).select("word", fold(F.col("word"), params.ranks).alias("ids"))
+    """(key, ids) of the distinct words of all texts."""
+    words = distinct_words(docs)
+    return words.where(F.octet_length("word") <= LONGEST).select("key", fold(F.col("word"), params.ranks).alias("ids"))
 
 
 class Encoder:
     def __init__(self, folder: str, bits: int, ranks: str):
-        self.store = hashstore.Store(folder, "key", bits)
-        self.ranks, self.cut, self.known = ranks, regex.compile(PATTERN), {}
+        self.store, self.ranks = hashstore.Store(folder, "key", bits), ranks
 
-    def _learn(self, words: list[str]) -> None:
-        keys = np.fromiter((_hash(w.encode()) for w in words), np.uint64, len(words))
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many it has)."""
+        keys = word_keys(words)
         order = np.argsort(keys)
-        keys = keys[order]
-        for number, which, place in self.store.find(keys):
+        begin, size, total, parts = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64), 0, []
+        for number, which, place in self.store.find(keys[order]):
             at, ids = self.store.column("ids-at", number), self.store.column("ids", number)
-            low, high = at[place], at[place + 1]
-            for k, a, b in zip(order[which].tolist(), low.tolist(), high.tolist()):
-                self.known[words[k]] = ids[a:b].tobytes()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = np.array(merge_ranks(w.encode(), load_ranks(self.ranks)), np.int32).tobytes()
-
-    def texts(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
-        rows = [self.cut.findall(t) if t else [] for t in texts]
-        new = set().union(*map(set, rows)) if rows else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        self._learn(list(new - self.known.keys()))
-        get = self.known.__getitem__
-        data = [b"".join(map(get, r)) for r in rows]
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        missing = np.fromiter((t is None for t in texts), bool, len(texts))
-        flat = pa.array(np.frombuffer(b"".join(data), np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), flat), sizes
-
-
-#: The encoder that this worker used last: a worker runs many tasks, which share its memory of words.
-_last: tuple[str, Encoder] | None = None
-
-
-def encoder_of(folder: str, bits: int, ranks: str) -> Encoder:
-    global _last
-    if _last is None or _last[0] != folder:
-        _last = (folder, Encoder(folder, bits, ranks))
-    return _last[1]
+            low = at[place]
+            n = at[place + 1] - low
+            parts.append(ids[_ranges(low, n)])
+            mine = order[which]
+            begin[mine], size[mine] = total + np.cumsum(n) - n, n
+            total += int(n.sum())
+        for i in np.flatnonzero(size < 0).tolist():
+            ids = np.array(merge_ranks(words[i].as_py().encode(), load_ranks(self.ranks)), np.int32)
+            parts.append(ids)
+            begin[i], size[i] = total, len(ids)
+            total += len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), begin, size
+
+    def texts(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text."""
+        words, counts = cut_words(texts)
+        coded = words.dictionary_encode()
+        flat, begin, size = self._ids(coded.dictionary)
+        which = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        missing = texts.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(flat[_ranges(begin[which], size[which])]))
+
+
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ..., n of them, for one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
     """(doc_id, text, ids) of every row of ``docs``."""
     words = materialize(encoded_words(docs, params), "bpe-words")
-    bits = params.bits if params.bits is not None else min(14, max(0, int(np.ceil(np.log2(max(1, words.count()) / 200_000)))) if words.count() else 0)
-    folder = hashstore.write(words.select(F.xxhash64("word").alias("key"), "ids"), "bpe-store", bits)
+    bits = params.bits if params.bits is not None else max(0, int(np.ceil(np.log2(max(1, words.count() / 200_000)))))
+    folder = hashstore.write(words, "bpe-store", bits)
     ranks = params.ranks
 
     def make():
-        encoder = encoder_of(folder, bits, ranks)
-
-        def kernel(part: pa.RecordBatch) -> list:
-            ids, _ = encoder.texts(part.column(1).to_pylist())
-            return [part.column(0).cast(pa.int64()), part.column(1), ids]
-
-        return kernel
+        encoder = remembered(("bpe", folder), lambda: Encoder(folder, bits, ranks))
+        return lambda part: [part.column(0).cast(pa.int64()), part.column(1), encoder.texts(part.column(1))]
 
     return map_rows(docs, ["doc_id", "text"], SCHEMA, make)
 
