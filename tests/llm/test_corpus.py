@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
@@ -47,7 +48,7 @@ def test_simhash_groups_equal_brute_force(spark):
             texts.append(" ".join(copy))
     texts += [None, "", "!!", "!!", texts[0], texts[0]]
     docs = documents(spark, texts).union(documents(spark, ["no id"]).selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "node", "key"))
-    sizes, lanes = simhash.Hasher().signatures(texts)
+    sizes, lanes = simhash.signatures_of(pa.array(texts))
     limit = simhash.SimHashParams().max_distance
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sizes[i] and sizes[j] and simhash.distances(lanes[i], lanes[j]) <= limit]
     want = roots(range(len(texts)), pairs)
