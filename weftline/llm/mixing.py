@@ -10,13 +10,14 @@ one multivariate-hypergeometric draw, so that both halves have exactly the block
 shards. A shard takes the next blocks of each source's permutation, which makes the draws disjoint, and shuffles its
 documents locally. Text moves once, to its shard.
 
-Only counts by (source, block) come to the driver. There are ``blocks_per_shard`` blocks for each shard, and shards hold
-``shard_bytes`` of text or more: with 100 TB that is some ten million counts at most, see ``max_shards``.
+Only counts by (source, block) come to the driver, as arrays. There are ``blocks_per_shard`` blocks for each shard, and a
+shard holds about ``shard_bytes`` of text: with 100 TB that is some 13 million counts of 16 bytes.
 
 Defined results:
-- a null source is a source of its own, named ``unknown`` for weights; a null text is a document like any other;
-- rows with the same id, and all rows with a null id, are drawn or left together; a quota is exact but for such rows at its
-  edge, of which all are drawn; ties of the local order are broken by id;
+- a null source is a source of its own, named ``unknown`` for weights; a null text is a document like any other, and so are
+  an empty one and a very long one, which is drawn whole and counts as one document of its source;
+- rows with the same id and text are drawn or left together; a quota is exact but for such rows at its edge, of which all
+  are drawn; ties of the local order are broken by id;
 - a source without a weight has weight ``other``; one with weight 0 is left out; sources that have a weight but no document are ignored;
 - an empty table gives no rows; other columns pass through unchanged, and the added columns replace any of the same name.
 """
@@ -27,6 +28,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,7 @@ class MixParams:
     other: float = 0.0
     keep: float | None = None
     temperature: float = 0.7
-    shard_bytes: int = 32 << 20
-    max_shards: int = 100_000
+    shard_bytes: int = 64 << 20
     blocks_per_shard: int = 8
     seed: int = 20_240_601
 
@@ -105,64 +106,65 @@ def split(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return out
 
 
+def _small(side: DataFrame, size: int) -> DataFrame:
+    """A join side of ``size`` bytes, sent to all executors only below the limit; beyond it the join is by shuffle."""
+    return F.broadcast(side) if size <= BROADCAST_LIMIT_BYTES else side
+
+
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The drawn rows of ``docs`` with ``shard`` and ``shard_pos``; physically one shard after another, shuffled within."""
     spark = docs.sparkSession
-    source = F.coalesce(F.col("source"), F.lit(UNKNOWN))
     kept = [c for c in docs.columns if c not in ("shard", "shard_pos")]
     # Columns go by position, so that no name of theirs meets one of ours.
     names = [f"c{i}" for i in range(len(kept))]
-    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], "doc_id", "source", "text")
-    # Sizes first, from two narrow columns: the number of blocks of a source follows from them.
-    sized = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")).collect()
-    sizes = {r["source"]: r["n"] for r in sized}
+    source, by_id, text = F.coalesce(F.col("source"), F.lit(UNKNOWN)), F.col("doc_id"), F.col("text")
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], source.alias("_source"), by_id.alias("_id"), F.xxhash64(by_id, text, F.lit(params.seed)).alias("_draw"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"))
+    sized = docs.groupBy("_source").agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes")).collect()
+    sizes = {r["_source"]: r["n"] for r in sized}
     want = quotas(sizes, params)
-    shards = int(max(1, min(params.max_shards, -(-sum(r["bytes"] for r in sized) // params.shard_bytes))))
     if not sum(want.values()):
         return docs.select(*names, F.lit(0).alias("shard"), F.lit(0).alias("shard_pos")).where(F.lit(False)).toDF(*kept, "shard", "shard_pos")
+    shards = int(max(1, -(-sum(r["bytes"] for r in sized) // params.shard_bytes)))
     order = sorted(want)
     total = sum(sizes[s] for s in order)
-    count = {s: max(1, round(params.blocks_per_shard * shards * sizes[s] / total)) for s in order}
-    blocks_of = F.create_map(*[F.lit(x) for s in order for x in (s, count[s])])[source]
-    # The high part of the id's hash picks the block, the whole orders documents in it; counting reads no text.
-    draw = F.xxhash64("doc_id", F.lit(params.seed))
-    block = F.pmod(F.shiftrightunsigned(draw, 20), blocks_of.cast("long")).cast("int")
-    counted = docs.where(blocks_of.isNotNull()).groupBy(source.alias("source"), block.alias("block")).count().collect()
-    have: dict[str, np.ndarray] = {s: np.zeros(count[s], np.int64) for s in order}
-    for r in counted:
-        have[r["source"]][r["block"]] = r["count"]
+    count = np.array([max(1, round(params.blocks_per_shard * shards * sizes[s] / total)) for s in order])
+    # Each source gets a number and its count of blocks by a join with a table of the sources.
+    table = spark.createDataFrame(pa.table({"_source": order, "_code": pa.array(range(len(order)), pa.int32()), "_blocks": pa.array(count, pa.int64())}))
+    # The high part of a row's hash picks the block, the whole orders documents in it.
+    placed = docs.join(_small(table, len(order) * 64), "_source").withColumn("_block", F.pmod(F.shiftrightunsigned("_draw", 20), F.col("_blocks")).cast("int"))
+    counted = placed.groupBy("_code", "_block").agg(F.count("*").alias("n")).toArrow()
+    codes, blocks, sums = (counted.column(i).to_numpy() for i in range(3))
+    first = np.concatenate([[0], np.cumsum(count)])
+    have = np.zeros(first[-1], np.int64)
+    have[first[codes] + blocks] = sums
     rng = np.random.default_rng(params.seed)
-    taken: dict[str, np.ndarray] = {}
-    edge: dict[str, tuple[int, int]] = {}  # source -> (block drawn in part, documents of it)
-    for s in order:
-        permuted = rng.permutation(count[s])
-        filled = np.cumsum(have[s][permuted])
+    taken: list[np.ndarray] = []
+    edges: list[tuple[int, int, int]] = []  # (source, block drawn in part, documents of it)
+    for j, s in enumerate(order):
+        permuted = rng.permutation(count[j])
+        filled = np.cumsum(have[first[j] : first[j + 1]][permuted])
         k = int(np.searchsorted(filled, want[s], "left"))
-        taken[s] = permuted[: k + 1] if want[s] else permuted[:0]
+        taken.append(permuted[: k + 1] if want[s] else permuted[:0])
         if want[s] and filled[k] > want[s]:
-            edge[s] = (int(permuted[k]), int(want[s] - (filled[k - 1] if k else 0)))
-    per_shard = split(np.array([len(taken[s]) for s in order]), shards, rng)
-    rows = []
-    for j, s in enumerate(order):
-        to = np.repeat(np.arange(shards), per_shard[:, j])
-        rows += [(s, int(b), int(k)) for b, k in zip(taken[s], to)]
-    # The cut of a block drawn in part is the hash of its last document.
-    cut = {s: None for s in order}
-    if edge:
-        partly = F.lit(False)
-        for s, (b, _) in edge.items():
-            partly = partly | ((source == s) & (block == b))
-        ranked = docs.where(partly).groupBy(source.alias("source")).agg(F.sort_array(F.collect_list(draw)).alias("draws"))
-        need = F.create_map(*[F.lit(x) for s, (_, n) in edge.items() for x in (s, n)])
-        cut |= {r["source"]: r["cut"] for r in ranked.select("source", F.element_at("draws", need[F.col("source")]).alias("cut")).collect()}
-    plan = spark.createDataFrame([(s, b, k, cut[s] if s in edge and edge[s][0] == b else None) for s, b, k in rows], "_source string, _block int, _shard int, _cut long")
-    # The plan has a row a block; beyond the limit it is joined by shuffle.
-    side = F.broadcast(plan) if len(rows) * 64 <= BROADCAST_LIMIT_BYTES else plan
-    drawn = docs.select(*names, source.alias("_source"), block.alias("_block"), draw.alias("_draw")).join(side, ["_source", "_block"]).where(F.col("_cut").isNull() | (F.col("_draw") <= F.col("_cut")))
-    local = F.xxhash64("_draw", F.lit(params.seed + 1))
-    # The position is a running number in the shard: the window needs the rows of a shard together and sorted, as they are wanted.
-    placed = drawn.withColumn("_local", local).repartition(max(1, shards), "_shard")
-    return placed.select(*names, F.col("_shard").alias("shard"), (F.row_number().over(Window.partitionBy("_shard").orderBy("_local", names[kept.index("doc_id")])) - 1).alias("shard_pos")).toDF(*kept, "shard", "shard_pos")
+            edges.append((j, int(permuted[k]), int(want[s] - (filled[k - 1] if k else 0))))
+    per_shard = split(np.array([len(t) for t in taken]), shards, rng)
+    plan = {
+        "_code": np.repeat(np.arange(len(order)), [len(t) for t in taken]).astype(np.int32),
+        "_block": np.concatenate(taken).astype(np.int32),
+        "_shard": np.concatenate([np.repeat(np.arange(shards), per_shard[:, j]) for j in range(len(order))]).astype(np.int32),
+    }
+    rows = spark.createDataFrame(pa.table(plan))
+    # The cut of a block drawn in part is the hash of its last document: a running count over the block's hashes, each with its rows.
+    edge = spark.createDataFrame(edges, "_code int, _block int, _need long")
+    running = F.sum("n").over(Window.partitionBy("_code", "_block").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0))
+    partly = placed.select("_code", "_block", "_draw").join(_small(edge, len(edges) * 32), ["_code", "_block"]).groupBy("_code", "_block", "_draw", "_need").agg(F.count("*").alias("n")).withColumn("_sum", running)
+    cut = partly.where("_sum >= _need").groupBy("_code", "_block").agg(F.min("_draw").alias("_cut"))
+    size = len(plan["_code"]) * 32
+    drawn = placed.join(_small(rows.join(_small(cut, len(edges) * 32), ["_code", "_block"], "left"), size), ["_code", "_block"]).where(F.col("_cut").isNull() | (F.col("_draw") <= F.col("_cut")))
+    drawn = drawn.select(*names, "_id", "_shard", "_draw", F.xxhash64("_draw", F.lit(params.seed + 1)).alias("_local"))
+    # One shard a task. The position is a running number in the shard: the window needs its rows together and sorted, as they are wanted.
+    placed = drawn.repartitionById(shards, F.col("_shard"))
+    return placed.select(*names, F.col("_shard").alias("shard"), (F.row_number().over(Window.partitionBy("_shard").orderBy("_local", "_id")) - 1).alias("shard_pos")).toDF(*kept, "shard", "shard_pos")
 
 
 def mixed(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
