@@ -18,7 +18,7 @@ def slow(rows):
     weight = lambda x: math.log(1 + len(fine) / df[x]) if len(fine) >= 3 else 1.0
     out = {}
     for i, (p, r, t, w) in enumerate(fine):
-        found = next((k for k, x in SIGNALS.items() if re.search(x, t)), None)
+        found = next((k for k, x in SIGNALS.items() if re.search(x.replace(r"\<", r"\b").replace(r"\>", r"\b"), t)), None)
         if not found:
             continue
         best, at = 0.0, None

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from weftline.functions import entities as E
 from weftline.functions.patterns import ascii_edges
+from weftline.functions.units import utf16_length
 from weftline.operators.dedup import compressed_before
-from weftline.sources.messages import utf16_length
 
 #: The first that fires names the signal.
 SIGNALS = {
-    "explicit_correction": r"(?i)\b(?:correction|actually)[:.,]",
-    "negation_directive": r"(?i)\bno[.,]?\s+(?:we should|that's|it should|it's|use)",
-    "instead_directive": r"(?i)\b(?:rather|instead)[.,]?\s+(?:you|we|use|do)",
-    "retraction": r"(?i)\b(?:ignore|disregard|scratch that)\b",
-    "dont_directive": r"(?i)\bdon'?t\s+(?:use|include|import|do|add)\b",
-    "not_but_pattern": r"(?i)\bnot\s+\w+[.,]?\s+(?:go with|use|but)\b",
-    "wait_correction": r"(?i)\bwait[.,]\s",
-    "sorry_correction": r"(?i)\bsorry[.,]\s+(?:the|that|I)",
-    "self_correction": r"(?i)\bI was wrong\b",
-    "rephrase": r"(?i)\blet me (?:clarify|rephrase|correct)\b",
+    "explicit_correction": r"(?i)\<(?:correction|actually)[:.,]",
+    "negation_directive": r"(?i)\<no[.,]?\s+(?:we should|that's|it should|it's|use)",
+    "instead_directive": r"(?i)\<(?:rather|instead)[.,]?\s+(?:you|we|use|do)",
+    "retraction": r"(?i)\<(?:ignore|disregard|scratch that)\>",
+    "dont_directive": r"(?i)\<don'?t\s+(?:use|include|import|do|add)\>",
+    "not_but_pattern": r"(?i)\<not\s+\w+[.,]?\s+(?:go with|use|but)\>",
+    "wait_correction": r"(?i)\<wait[.,]\s",
+    "sorry_correction": r"(?i)\<sorry[.,]\s+(?:the|that|I)",
+    "self_correction": r"(?i)\<I was wrong\>",
+    "rephrase": r"(?i)\<let me (?:clarify|rephrase|correct)\>",
 }
 
 
@@ -32,32 +32,40 @@ def signal(text: Column) -> Column:
 def topic_words(text: Column) -> Column:
     """Distinct words of three letters or more, and identifiers, in lower case."""
     take = lambda t, p: F.regexp_extract_all(t, F.lit(ascii_edges(p)), F.lit(0))
-    return F.array_distinct(F.concat(take(F.lower(text), r"\b[a-z]{3,}\b"), *[F.transform(take(text, p), F.lower) for p in (E.CAMEL, E.PASCAL, E.SNAKE)]))
+    return F.array_distinct(F.concat(take(F.lower(text), r"\<[a-z]{3,}\>"), F.transform(E.identifiers(text), F.lower)))
 
 
 def contradictions(messages: DataFrame, topic_threshold: float = 0.15, preserve: tuple[str, ...] = ()) -> DataFrame:
-    """(conv_id, pos, superseded_by, overlap, signal) of every message that a correction replaces.
+    """(conv_id, pos, superseded_by, superseded_by_id, overlap, signal) of every message that a correction replaces.
 
     Overlap is the Dice measure of the two messages' words, weighted by ln(1 + n / document frequency) in conversations of three
     eligible messages or more. A correction takes the earlier message with the highest overlap, the nearer one if tied;
-    across roles the threshold is half as high again. An earlier message keeps its first correction. Messages without a common
-    word can't reach a threshold, so candidates meet by word, and only corrections look for partners.
+    across roles the threshold is half as high again. An earlier message keeps its first correction.
+
+    Only corrections look for partners. A correction looks by its rarest words: those common ones that together weigh too
+    little for the threshold are left out of the search, and only of the search.
     """
     text = F.coalesce("content", F.lit(""))
     fine = (utf16_length(text) >= 50) & ~compressed_before(text) & ~F.coalesce(F.col("role"), F.lit("")).isin(*preserve)
-    slim = messages.where(fine).select("conv_id", "pos", "role", signal(text).alias("signal"), topic_words(text).alias("words"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    slim = messages.where(fine).select("conv_id", "pos", "id", "role", signal(text).alias("signal"), topic_words(text).alias("words"))
     # Only conversations with a correction go on.
-    slim = slim.withColumn("any", F.count("signal").over(Window.partitionBy("conv_id"))).where("any > 0")
-    each = slim.select("conv_id", "pos", "role", "signal", "n", F.explode("words").alias("word"))
-    share = Window.partitionBy("conv_id", "word")
-    weight = F.when(F.col("n") >= 3, F.log1p(F.col("n") / F.count("*").over(share))).otherwise(1.0)
-    each = each.withColumn("weight", weight).withColumn("total", F.sum("weight").over(Window.partitionBy("conv_id", "pos")))
-    later = each.where("signal is not null").select("conv_id", "word", "weight", F.col("pos").alias("later"), F.col("role").alias("later_role"), "signal", F.col("total").alias("later_total"))
-    pairs = each.select("conv_id", "word", "pos", "role", "total").join(later, ["conv_id", "word"]).where("pos < later")
-    scored = pairs.groupBy("conv_id", "pos", "later", "signal", "role", "later_role", "total", "later_total").agg(F.sum("weight").alias("common"))
-    scored = scored.withColumn("overlap", 2 * F.col("common") / (F.col("total") + F.col("later_total")))
+    whole = Window.partitionBy("conv_id")
+    slim = slim.withColumn("n", F.count("*").over(whole)).withColumn("any", F.count("signal").over(whole)).where("any > 0")
+    each = slim.select("conv_id", "pos", "id", "role", "signal", "n", F.explode("words").alias("word"))
+    weight = F.when(F.col("n") >= 3, F.log1p(F.col("n") / F.count("*").over(Window.partitionBy("conv_id", "word")))).otherwise(1.0)
+    each = each.withColumn("weight", weight)
+    mine = Window.partitionBy("conv_id", "pos")
+    light = F.sum("weight").over(mine.orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("total", F.sum("weight").over(mine)).withColumn("light", light)
+    weighed = each.groupBy("conv_id", "pos", "id", "role", "signal", "total").agg(F.collect_list(F.struct("word", "weight")).alias("words"))
+    search = each.where("signal is not null").where(F.col("light") >= F.col("total") * (topic_threshold / 2 * (1 - 1e-9))).select("conv_id", "word", F.col("pos").alias("later"))
+    met = each.select("conv_id", "word", "pos").join(search, ["conv_id", "word"]).where("pos < later").select("conv_id", "pos", "later").distinct()
+    later = weighed.where("signal is not null").select("conv_id", F.col("pos").alias("later"), F.col("id").alias("later_id"), F.col("role").alias("later_role"), "signal", F.col("total").alias("later_total"), F.col("words").alias("later_words"))
+    pairs = met.join(weighed.select("conv_id", "pos", "role", "total", "words"), ["conv_id", "pos"]).join(later, ["conv_id", "later"])
+    common = F.aggregate(F.array_intersect("words", "later_words"), F.lit(0.0), lambda a, x: a + x["weight"])
+    scored = pairs.withColumn("overlap", F.round(2 * common / (F.col("total") + F.col("later_total")), 12))
     crossed = F.coalesce((F.col("role") != F.col("later_role")) & (F.col("role") != "") & (F.col("later_role") != ""), F.lit(False))
     reached = scored.where(F.col("overlap") >= F.when(crossed, topic_threshold * 1.5).otherwise(topic_threshold))
-    best = reached.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "later").orderBy(F.desc(F.round("overlap", 12)), F.desc("pos")))).where("k = 1")
+    best = reached.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "later").orderBy(F.desc("overlap"), F.desc("pos")))).where("k = 1")
     first = best.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "pos").orderBy("later"))).where("k = 1")
-    return first.select("conv_id", "pos", F.col("later").alias("superseded_by"), F.round("overlap", 6).alias("overlap"), "signal")
+    return first.select("conv_id", "pos", F.col("later").alias("superseded_by"), F.col("later_id").alias("superseded_by_id"), F.round("overlap", 6).alias("overlap"), "signal")

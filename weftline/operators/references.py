@@ -1,6 +1,6 @@
-"""Operators that relate the messages of a conversation: importance, coreference, near-duplicate pairs.
+"""Operators that relate the messages of a conversation by what they name: importance and coreference.
 
-All pair work goes through shared keys (an entity, a line), never through a cross join.
+All pair work goes through shared keys (an entity), never through a cross join.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from weftline.functions import entities as E
 from weftline.functions.patterns import ascii_edges
-from weftline.operators.dedup import compressed_before, exact_duplicates
-from weftline.sources.messages import utf16_length
 
 PLACES = r"\S+\.\w+:[0-9]+"
-DECIDED = r"(?i)\b(?:" + "|".join(["always", "decided? to", "do not", "don't", "instead", "must", "never", "require[ds]?", "should", r"the\s+(?:answer|approach|fix|solution)\s+is", r"we(?:'ll| will)\s+(?:implement|use|go with)"]) + r")\b"
-CORRECTED = r"(?i)\b(?:" + "|".join(["actually", "correction", "disregard", "ignore (?:my|that|the previous)", "instead[.,]", r"no[.,]?\s+(?:it's|that's|the|use)", r"not\s+\w+[.,]?\s+(?:but|it's|use)", "scratch that", "sorry[.,]", "wait[.,]"]) + r")\b"
-LIMITED = r"(?i)\b(?:" + "|".join("backward compat|backwards compat|blocker|boundary|breaking change|constraint|deadline|dependency|limitation|prerequisite|requirement".split("|")) + r")\b"
+# Which phrases count is parity data.
+DECIDED = r"(?i)\<(?:" + "|".join(["always", "decided? to", "do not", "don't", "instead", "must", "never", "require[ds]?", "should", r"the\s+(?:answer|approach|fix|solution)\s+is", r"use\s+\w+\s+(?:instead|rather)", r"we(?:'ll| will)\s+(?:implement|use|go with)"]) + r")\>"
+CORRECTED = r"(?i)\<(?:" + "|".join(["actually", "correction", "disregard", "ignore (?:my|that|the previous)", "instead[.,]", r"no[.,]?\s+(?:it's|that's|the|use)", r"not\s+\w+[.,]?\s+(?:but|it's|use)", "scratch that", "sorry[.,]", "wait[.,]"]) + r")\b"
+LIMITED = r"(?i)\<(?:" + "|".join("backward compat|backwards compat|blocker|boundary|breaking change|constraint|deadline|dependency|limitation|prerequisite|requirement".split("|")) + r")\>"
+#: Positions that one mask of bits covers.
+BITS = 63
 
 
 def signals(text: Column) -> Column:
@@ -33,14 +34,18 @@ def linked_entities(text: Column) -> Column:
 def importance(messages: DataFrame) -> DataFrame:
     """(conv_id, pos, refs, importance): later messages that share an entity, content signals, and place in the conversation.
 
-    A message's later partners are those at or after the next occurrence of one of its entities; per entity the positions are
-    gathered once, so a message meets each later partner once an entity.
+    Where an entity occurs is kept as masks of 63 positions, so a message meets its later partners 63 at a time; the masks
+    of all its entities are joined by "or" and their bits counted, so that a partner counts once.
     """
     text = F.coalesce("content", F.lit(""))
     each = messages.select("conv_id", "pos", F.explode(linked_entities(text)).alias("entity"))
-    gathered = each.groupBy("conv_id", "entity").agg(F.sort_array(F.collect_set("pos")).alias("at")).where(F.size("at") > 1)
-    later = gathered.select("conv_id", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.filter("at", lambda q: q > p).alias("later")))).alias("x")).select("conv_id", "x.pos", "x.later")
-    refs = later.groupBy("conv_id", "pos").agg(F.size(F.array_distinct(F.flatten(F.collect_list("later")))).alias("refs"))
+    each = each.select("conv_id", "pos", F.xxhash64("entity").alias("entity"), F.floor(F.col("pos") / BITS).alias("at"), (F.col("pos") % BITS).cast("int").alias("bit"))
+    masks = each.groupBy("conv_id", "entity", "at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask")).withColumnRenamed("at", "there")
+    met = each.join(masks, ["conv_id", "entity"]).where("there >= at")
+    # In the message's own stretch only the bits above its own are later.
+    above = F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("bit") + 1))
+    later = met.select("conv_id", "pos", "there", F.when(F.col("there") == F.col("at"), above).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    refs = later.groupBy("conv_id", "pos", "there").agg(F.bit_count(F.bit_or("mask")).alias("n")).groupBy("conv_id", "pos").agg(F.sum("n").alias("refs"))
     whole = Window.partitionBy("conv_id")
     scored = messages.select("conv_id", "pos", signals(text).alias("s")).join(refs, ["conv_id", "pos"], "left").withColumn("refs", F.coalesce("refs", F.lit(0)))
     most, n = F.max("refs").over(whole), F.count("*").over(whole)
@@ -49,12 +54,13 @@ def importance(messages: DataFrame) -> DataFrame:
 
 
 def coreference(messages: DataFrame) -> DataFrame:
-    """(conv_id, entity, defined_at, referenced_at): identifiers with the message that has them first and those after it."""
-    text = F.coalesce("content", F.lit(""))
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(ascii_edges(p)), F.lit(0)) for p in (E.CAMEL, E.PASCAL, E.SNAKE)]))
-    each = messages.select("conv_id", "pos", F.explode(found).alias("entity"))
-    placed = each.groupBy("conv_id", "entity").agg(F.sort_array(F.collect_set("pos")).alias("at")).where(F.size("at") > 1)
-    return placed.select("conv_id", "entity", F.get("at", F.lit(0)).alias("defined_at"), F.slice("at", 2, F.size("at") - 1).alias("referenced_at"))
+    """(conv_id, entity, defined_at, nth, referenced_at): identifiers with the message that has them first and those after it.
+
+    ``nth`` is the identifier's place among those of its message.
+    """
+    each = messages.select("conv_id", "pos", F.posexplode(E.identifiers(F.coalesce("content", F.lit("")))).alias("nth", "entity"))
+    placed = each.groupBy("conv_id", "entity").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.min_by("nth", "pos").alias("nth")).where(F.size("at") > 1)
+    return placed.select("conv_id", "entity", F.get("at", F.lit(0)).alias("defined_at"), "nth", F.slice("at", 2, F.size("at") - 1).alias("referenced_at"))
 
 
 def orphaned(definitions: DataFrame, compressed: DataFrame, preserved: DataFrame) -> DataFrame:
@@ -62,26 +68,3 @@ def orphaned(definitions: DataFrame, compressed: DataFrame, preserved: DataFrame
     inside = definitions.join(compressed.select("conv_id", F.col("pos").alias("defined_at")), ["conv_id", "defined_at"], "left_semi")
     used = inside.select("conv_id", "entity", F.explode("referenced_at").alias("pos")).join(preserved.select("conv_id", "pos"), ["conv_id", "pos"], "left_semi")
     return inside.join(used.select("conv_id", "entity").distinct(), ["conv_id", "entity"], "left_semi")
-
-
-def near_pairs(messages: DataFrame, threshold: float = 0.85, recency_window: int = 4, preserve: tuple[str, ...] = ("system",)) -> DataFrame:
-    """(conv_id, a, b, similarity), a < b: messages that share three of their first five lines and most of all lines.
-
-    Similarity is the multiset Jaccard of trimmed lower-case lines; exact repeats are left out first.
-    """
-    content = F.coalesce("content", F.lit(""))
-    lines = F.filter(F.transform(F.split(content, "\n", -1), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    fine = (utf16_length(content) >= 200) & ~F.coalesce(F.col("role"), F.lit("")).isin(*preserve) & (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0) & ~compressed_before(content)
-    gone = exact_duplicates(messages, recency_window, preserve).select("conv_id", "pos")
-    # Lines travel as hashes.
-    slim = messages.where(fine).select("conv_id", "pos", utf16_length(content).alias("size"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines")).where(F.size("lines") >= 2)
-    slim = slim.join(gone, ["conv_id", "pos"], "left_anti")
-    heads = slim.select("conv_id", "pos", F.explode(F.slice("lines", 1, 5)).alias("line"))
-    pairs = heads.alias("x").join(heads.withColumnRenamed("pos", "b").alias("y"), ["conv_id", "line"]).where("pos < b").groupBy("conv_id", F.col("pos").alias("a"), "b").count().where("count >= 3")
-    left, right = slim.toDF("conv_id", "a", "size_a", "lines_a"), slim.toDF("conv_id", "b", "size_b", "lines_b")
-    both = pairs.join(left, ["conv_id", "a"]).join(right, ["conv_id", "b"]).where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * 0.7)
-    # Multisets as sets: each line with the number of its occurrence.
-    numbered = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(c, F.lit(1), i + 1), lambda y: y == x)).alias("n")))
-    common = F.size(F.array_intersect(numbered(F.col("lines_a")), numbered(F.col("lines_b"))))
-    similarity = common / (F.size("lines_a") + F.size("lines_b") - common)
-    return both.select("conv_id", "a", "b", F.round(similarity, 6).alias("similarity"), similarity.alias("_s")).where(F.col("_s") >= threshold).drop("_s")

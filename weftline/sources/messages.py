@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.units import utf16_length
 
-def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units, the unit of all thresholds; null counts as 0."""
-    return F.coalesce((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"), F.lit(0))
+__all__ = ["ORIGINAL", "from_conversations", "from_documents", "renumbered", "utf16_length", "validate"]
+
+#: Where a compressed message comes from: the ids that it stands for, its own id as a summary, those of its parts, a version.
+ORIGINAL = "struct<ids:array<string>,summary_id:string,parent_ids:array<string>,version:bigint>"
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, id, role, content, tool_calls) with positions from 0 in turn order."""
+    """(conv_id, pos, id, role, content, tool_calls) with positions from 0 in turn order.
+
+    Ids are unique: the second row of a turn has ``-2`` at the end of its id, and so on.
+    """
+    again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return turns.select(
+    named = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return turns.select("conv_id", "turn", "role", "text").select(
         "conv_id",
         (F.row_number().over(order) - 1).alias("pos"),
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.when(again > 1, F.concat_ws("-", named, again.cast("string"))).otherwise(named).alias("id"),
         "role",
         F.col("text").alias("content"),
         F.lit(None).cast("array<string>").alias("tool_calls"),
     )
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Documents as messages of one long conversation a source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("conv_id"), (F.row_number().over(order) - 1).alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit("user").alias("role"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("tool_calls"))
+def from_documents(docs: DataFrame, span: int = 1000) -> DataFrame:
+    """Documents as messages: a conversation is a source's documents of ``span`` ids in a row, so that none grows with the table."""
+    conv = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.coalesce("doc_id", F.lit(0)) / span).cast("string"))
+    order = Window.partitionBy("conv_id").orderBy("doc_id", "text")
+    return docs.select(conv.alias("conv_id"), "doc_id", "text").select(
+        "conv_id",
+        (F.row_number().over(order) - 1).alias("pos"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.lit("user").alias("role"),
+        F.col("text").alias("content"),
+        F.lit(None).cast("array<string>").alias("tool_calls"),
+    )
+
+
+def renumbered(messages: DataFrame) -> DataFrame:
+    """Messages with positions from 0 again, as after a compression."""
+    return messages.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")) - 1)
 
 
 def validate(messages: DataFrame) -> DataFrame:
