@@ -1,183 +1,253 @@
-"""The compression pipeline over many conversations at once: decide, group, summarise, keep provenance, restore."""
+"""The compression pipeline over many conversations at once: decide, group, summarise, keep provenance, count.
+
+``compress`` gives units: runs of messages that leave together, each with what it becomes. Messages, the store of
+originals, the trace and the statistics are all read off them, so writing the units once (``store.publish``) is enough.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from weftline.functions.content import hard, reasons
-from weftline.functions.entities import entities
-from weftline.operators.dedup import compressed_before, exact_duplicates, recency_start
-from weftline.runtime import ship
-from weftline.sources.messages import utf16_length
+from weftline.functions import kernels as K
+from weftline.functions.units import utf16_length
+from weftline.operators.cluster import clusters
+from weftline.operators.decisions import KEY, annotated, features, ruled, whole
+from weftline.operators.emission import emitter
+from weftline.operators.flow import flow_chains
+from weftline.operators.options import CompressOptions
+from weftline.operators.prepass import tool_prepass
+from weftline.operators.quality_metrics import quality
+from weftline.operators.references import coreference
+from weftline.runtime import materialize
+from weftline.sources.messages import ORIGINAL
+
+ACTIONS = {"copy": "deduped", "near": "fuzzy_deduped", "superseded": "contradicted", "code": "code_split"}
 
 
 @dataclass(frozen=True)
-class CompressOptions:
-    preserve: tuple[str, ...] = ("system",)
-    recency_window: int = 4
-    dedup: bool = True
-    source_version: int = 0
-    short_chars: int = 120
-    #: What a reference to a kept copy starts with.
-    tag: str = "dup of"
-
-
-# ------------------------------------------------------------------------------------------------------------ summaries
-
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]+")
-NAMES = [re.compile(p) for p in (r"\b[a-z]+(?:[A-Z][a-z]+)+\b", r"\b(?:[A-Z][a-z]+){2,}\b", r"\b[a-z]+(?:_[a-z]+)+\b", r"\b(?:ERROR|FAIL|PASS|WARN|WARNING)\b")]
-PAIRS = [re.compile(p) for p in (r"(?i)\b\d+(?:\.\d+)?\s*(?:%|[kmgt]b|ms|nodes?|replicas?|requests?|retries?|seconds?|threads?|workers?)\b", r"(?i)\b[b-df-hj-np-tv-xz]{3,}\b", r"\S+\.\w+:\d+:")]
-STRESSED = re.compile(r"(?i)\b(?:" + "|".join(sorted("always critical crucial essential however importantly must never notably require[ds]? significant specifically".split()) + ["in particular", "key point", "note that"]) + r")\b")
-ARGUED = re.compile(r"(?i)\b(?:" + "|".join("accordingly consequently hence therefore thus".split() + ["as a result", "given that", "in conclusion", "it follows that", "this (?:means|proves|implies) that", "we can (?:infer|deduce|conclude)"]) + r")\b")
-FILLER = re.compile(
-    r"(?i)(?:" + "|".join(sorted("absolutely alright awesome certainly cool exactly fantastic great i'll indeed nice no noted now okay ok perfect right so sure thanks understood well wonderful yes".split(), reverse=True) + ["got it", "i (?:can|would|see|understand)", "let me", "makes sense", "no (?:problem|worries)", "of course", "sounds good", "thank you", "will do"]) + r")[\s,.!?]"
-)
-
-
-def sentence_score(s: str) -> int:
-    score = 3 * sum(len(p.findall(s)) for p in NAMES) + 2 * sum(len(p.findall(s)) for p in PAIRS)
-    score += 4 * bool(STRESSED.search(s)) + 3 * bool(ARGUED.search(s)) + 2 * (40 <= len(s) <= 120)
-    return score - 10 * bool(FILLER.match(s.strip()))
-
-
-def summarize(text: str, budget: int) -> str:
-    """The best sentences within ``budget`` characters, in reading order; the best of each paragraph go first."""
-    found: list[tuple[str, int, bool]] = []
-    for paragraph in re.split(r"\n\n+", text):
-        if not paragraph.strip():
-            continue
-        parts = [s.strip() for s in SENTENCE.findall(paragraph)] or [paragraph.strip()]
-        scores = [sentence_score(s) for s in parts]
-        top = scores.index(max(scores))
-        found += [(s, v, i == top) for i, (s, v) in enumerate(zip(parts, scores))]
-    if not found:
-        return text[:budget].strip()
-    taken, seen, used = [], set(), 0
-    for first in (True, False):
-        for i in sorted((i for i, f in enumerate(found) if f[2] is first and f[1] >= 0), key=lambda i: -found[i][1]):
-            size = len(found[i][0]) + (5 if taken else 0)
-            if found[i][0] not in seen and used + size <= budget:
-                taken.append(i)
-                seen.add(found[i][0])
-                used += size
-    if not taken:
-        best = max(found, key=lambda f: f[1])[0][:budget].strip()
-        return best[: budget - 3] + "..." if len(best) > budget - 3 else best
-    out = " ... ".join(found[i][0] for i in sorted(taken))
-    return out[: budget - 3] + "..." if len(out) > budget else out
-
-
-def budget(size: Column) -> Column:
-    """Characters of a summary: 30 % of the text, 200 to 600, the upper end growing with the logarithm of long texts."""
-    most = F.when(size > 5000, F.floor(F.lit(600) + F.lit(450) * F.log10(size / 5000) + 0.5)).otherwise(F.lit(600))
-    return F.greatest(F.lit(200), F.least(F.floor(size * F.lit(0.3) + 0.5), most)).cast("int")
-
-
-def _summaries(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, budgets in parts:
-        yield pd.Series([summarize(t, int(b)) for t, b in zip(texts, budgets)])
-
-
-# ------------------------------------------------------------------------------------------------------------- decisions
-
-
-def decisions(messages: DataFrame, options: CompressOptions = CompressOptions()) -> DataFrame:
-    """``messages`` with ``reason``, ``preserved`` and ``duplicate_of``: the first rule that applies to each."""
-    text = F.coalesce("content", F.lit(""))
-    with_start = messages.withColumn("_start", recency_start(options.recency_window))
-    if options.dedup:
-        repeated = exact_duplicates(messages, options.recency_window, options.preserve).select("conv_id", "pos", "duplicate_of", "duplicate_of_id")
-        with_start = with_start.join(repeated, ["conv_id", "pos"], "left")
+class Compressed:
+    """``units`` is lazy; publish or materialise it before reading several of the tables below from it."""
+
+    units: DataFrame
+    options: CompressOptions
+    #: (conv_id, verbose_trimmed, echo_trimmed, expired_stubbed, chars_removed), with ``tool_prepass``.
+    prepass: DataFrame | None = None
+    #: (conv_id, fits, token_count, recency_window), with a token budget.
+    fit: DataFrame | None = None
+
+    @property
+    def messages(self) -> DataFrame:
+        return result_messages(self.units)
+
+    @property
+    def verbatim(self) -> DataFrame:
+        return verbatim(self.units)
+
+    @property
+    def trace(self) -> DataFrame:
+        return trace(self.units)
+
+    @property
+    def stats(self) -> DataFrame:
+        return statistics(self)
+
+
+def key() -> Column:
+    """What the store knows a message by: its id; a summary, which has the id of its first message, also needs its own."""
+    return F.when(F.col("original.summary_id").isNotNull(), F.concat_ws(":", F.col("original.summary_id"), "id")).otherwise(F.col("id"))
+
+
+def _grouped(df: DataFrame, options: CompressOptions) -> DataFrame:
+    """Ruled messages in units: (conv_id, pos, kind, m), kind null for what stays."""
+    chained = None
+    if options.conversation_flow:
+        chained = flow_chains(df)
+    if options.semantic_clustering:
+        found = clusters(df, options.cluster_threshold, chained)
+        chained = found if chained is None else chained.unionByName(found)
+    if chained is not None:
+        member = chained.where("accepted").select("conv_id", F.col("first").alias("_first"), F.col("reason").alias("_chain"), F.col("tag").alias("_tag"), F.explode("members").alias("pos"))
+        df = df.join(member, KEY, "left")
     else:
-        with_start = with_start.withColumn("duplicate_of", F.lit(None).cast("int")).withColumn("duplicate_of_id", F.lit(None).cast("string"))
-    fence = F.instr(text, "```") > 0
-    json = F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(F.trim(text)).isNotNull()
-    # Detectors run only where an earlier rule hasn't decided.
-    reason = (
-        F.when(F.coalesce(F.col("role"), F.lit("")).isin(*options.preserve), "preserved_role")
-        .when((F.lit(options.recency_window) > 0) & (F.col("pos") >= F.col("_start")), "recency_window")
-        .when(F.coalesce(F.size("tool_calls"), F.lit(0)) > 0, "tool_calls")
-        .when(utf16_length(text) < options.short_chars, "short_content")
-        .when(compressed_before(text), "already_compressed")
-        .when(F.col("duplicate_of").isNotNull(), "exact_duplicate")
-        .when(fence, "code_fence_no_prose")
-        .when(hard(reasons(text)), "hard_t0")
-        .when(json, "json_structure")
-        .otherwise("compressible_prose")
-    )
-    return with_start.withColumn("reason", reason).withColumn("preserved", ~F.col("reason").isin("exact_duplicate", "compressible_prose")).drop("_start")
+        df = df.withColumn("_first", F.lit(None).cast("int")).withColumn("_chain", F.lit(None).cast("string")).withColumn("_tag", F.lit(None).cast("string"))
+    order = Window.partitionBy("conv_id").orderBy("pos")
+    prose = F.when(F.col("_first").isNull() & (F.col("kind") == "prose"), F.struct("role"))
+    joined = F.coalesce(F.lag(prose).over(order) == prose, F.lit(False)) | (prose.isNotNull() & F.lag(prose).over(order).isNotNull() & F.col("role").isNull() & F.lag("role").over(order).isNull())
+    # The number of a run is the position of its first message.
+    run = F.max(F.when(~F.col("_joined"), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_joined", joined).withColumn("_run", run)
+    fields = ["pos", "id", key().alias("key"), "role", "content", "tool_calls", "original", "reason", F.col("_size").alias("size"), F.col("_tokens").alias("tokens")]
+    notes = [F.coalesce("_copy_of", "_near_of", "_later").alias("note"), F.coalesce("_chain", "_signal").alias("signal"), F.col("_near").alias("near"), F.coalesce("_copy_size", "_size").alias("room"), F.col("_said.adapter").alias("adapter"), F.col("_tag").alias("tag"), F.col("_said.asked").alias("asked")]
+    kind = F.when(F.col("_first").isNotNull(), "chain").when(F.col("kind") != "kept", F.col("kind"))
+    one = F.struct(*fields, *notes, kind.alias("kind"))
+    return df.groupBy("conv_id", F.coalesce("_first", "_run").cast("int").alias("pos")).agg(F.sort_array(F.collect_list(one)).alias("m"))
+
+
+def _written(units: DataFrame, options: CompressOptions) -> DataFrame:
+    """Units with ``kind``, ``out`` (null: the messages stay), ``reason`` and ``summary_id``."""
+    first = F.get("m", F.lit(0))
+    kind = first["kind"]
+    each = lambda f: F.when(kind.isNotNull(), F.transform("m", f))
+    room = F.when(kind == "copy", first["room"]).otherwise(first["size"])
+    done = emitter(options)(kind, each(lambda x: F.coalesce(x["content"], F.lit(""))), each(lambda x: x["key"]), first["note"], first["signal"], first["near"], room.cast("int"), first["adapter"], first["tag"])
+    units = units.withColumn("_done", done)
+    return units.select("conv_id", "pos", kind.alias("kind"), "m", F.col("_done.out").alias("out"), F.coalesce("_done.reason", first["reason"]).alias("reason"), F.col("_done.summary_id").alias("summary_id"), F.lit(options.source_version).cast("long").alias("version"))
+
+
+def _inlined(units: DataFrame, messages: DataFrame) -> DataFrame:
+    """Units with the sentences that define a name put before their text, where a message that stays uses the name."""
+    member = units.select("conv_id", F.col("pos").alias("unit"), F.col("out").isNotNull().alias("gone"), F.col("kind").isin("prose", "code", "adapted", "chain").alias("summed"), F.explode("m").alias("x"))
+    member = member.select("conv_id", "unit", "gone", F.max(F.col("gone") & F.col("summed")).over(Window.partitionBy("conv_id")).alias("any"), F.col("x.pos").alias("pos"), F.col("x.content").alias("content"))
+    member = member.where("any").drop("any")
+    names = coreference(messages)
+    used = names.select("conv_id", "entity", F.explode("referenced_at").alias("pos")).join(member.where("not gone").select(*KEY), KEY, "left_semi").select("conv_id", "entity").distinct()
+    lost = names.join(used, ["conv_id", "entity"]).select("conv_id", F.col("defined_at").alias("pos"), "nth", "entity")
+    lost = lost.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("nth", "entity"))).alias("names"))
+
+    def defined(names: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([K.inline_definitions(n, t or "") for n, t in zip(names.to_pylist(), texts.to_pylist())], pa.string())
+
+    inline = F.arrow_udf(defined, "string")(F.transform("names", lambda x: x["entity"]), F.col("content"))
+    heads = member.where("gone").join(lost, KEY).select("conv_id", "unit", "pos", inline.alias("head")).where("head <> ''")
+    heads = heads.groupBy("conv_id", F.col("unit").alias("pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "head")), asc=False), lambda x: x["head"]), "").alias("_head"))
+    return units.join(heads, KEY, "left").withColumn("out", F.when(F.col("out").isNotNull() & (F.col("out") != ""), F.concat(F.coalesce("_head", F.lit("")), "out")).otherwise(F.col("out"))).drop("_head")
+
+
+def units_of(featured: DataFrame, options: CompressOptions, windows: DataFrame | None = None) -> DataFrame:
+    """Units of featured messages; ``windows``: recency windows of their own for conversations, and only these."""
+    related = options.fuzzy_dedup or options.importance_scoring or options.contradiction_detection
+    linked = options.conversation_flow or options.semantic_clustering
+    # What relates messages reads the rows again and again: they are written once instead of worked out each time.
+    if related and windows is None:
+        featured = materialize(featured, "features")
+    df = ruled(annotated(featured, options, windows), options)
+    if linked:
+        df = materialize(df, "ruled")
+    if options.compression_threshold is not None:
+        small = F.sum("_tokens").over(Window.partitionBy("conv_id")) < options.compression_threshold
+        df = df.withColumn("_small", small).withColumn("reason", F.when(F.col("_small"), "below_threshold").otherwise(F.col("reason"))).withColumn("kind", F.when(F.col("_small"), "kept").otherwise(F.col("kind")))
+    units = _written(_grouped(df, options), options)
+    return _inlined(materialize(units, "units"), featured) if options.coreference else units
+
+
+def compress(messages: DataFrame, options: CompressOptions = CompressOptions()) -> Compressed:
+    """Compress every conversation of ``messages`` (conv_id, pos, id, role, content, tool_calls, maybe original).
+
+    Positions are 0, 1, ... and ids are unique in a conversation. Null contents count as empty and stay; an empty table
+    gives empty tables. With a token budget see ``budget.fit``.
+    """
+    trimmed = None
+    if options.tool_prepass:
+        messages, trimmed = tool_prepass(whole(messages))
+    if options.token_budget is not None:
+        from weftline.operators.budget import fit
+
+        return fit(messages, options, trimmed)
+    return Compressed(units_of(features(messages, options), options), options, trimmed)
+
 
+# ---------------------------------------------------------------------------------------------------------------- results
 
-def compress(messages: DataFrame, options: CompressOptions = CompressOptions()) -> DataFrame:
-    """One row a message of the result: (conv_id, pos, role, content, ids, action, input_chars, output_chars).
 
-    Adjacent messages of one role that may be compressed become one summary, if that is shorter; exact repeats become a
-    reference. ``ids`` are the originals, by which ``restore`` finds them in the input.
+def _members(field: str) -> Column:
+    return F.transform("m", lambda x: x[field])
+
+
+def action() -> Column:
+    """What happened to a unit's messages."""
+    done = F.when(F.col("out").isNull(), "preserved")
+    for kind, name in ACTIONS.items():
+        done = done.when(F.col("kind") == kind, name)
+    return done.otherwise("compressed")
+
+
+def result_messages(units: DataFrame) -> DataFrame:
+    """(conv_id, pos, id, role, content, tool_calls, original, ids, action, reason, input_chars, output_chars), a row a message of the result.
+
+    A summary has the position, id, role and calls of its first message; ``original`` says what it stands for.
     """
-    ship(messages.sparkSession)
-    decided = decisions(messages, options)
-    order = Window.partitionBy("conv_id").orderBy("pos")
-    prose = F.col("reason") == "compressible_prose"
-    joined = prose & (F.lag("reason").over(order) == "compressible_prose") & F.lag("role").over(order).eqNullSafe(F.col("role"))
-    marked = decided.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    numbered = marked.withColumn("_group", F.sum("_new").over(order))
-    one = F.struct("pos", "id", F.coalesce("content", F.lit("")).alias("content"), F.col("duplicate_of_id").alias("of"))
-    groups = numbered.groupBy("conv_id", "_group").agg(F.sort_array(F.collect_list(one)).alias("m"), F.first("role").alias("role"), F.first("reason").alias("reason"))
-    text = F.array_join(F.transform("m", lambda x: x["content"]), " ")
-    groups = groups.withColumn("_text", text).withColumn("input_chars", F.aggregate("m", F.lit(0), lambda a, x: a + utf16_length(x["content"])))
-    is_prose, is_copy = F.col("reason") == "compressible_prose", F.col("reason") == "exact_duplicate"
-    kept = groups.where(~is_prose).withColumn("_summary", F.lit(None).cast("string")).withColumn("_named", F.lit(None).cast("string"))
-    short = groups.where(is_prose).withColumn("_summary", F.pandas_udf(_summaries, StringType())("_text", budget(F.length("_text"))))
-    cap = F.greatest(F.lit(3), F.least(F.floor(F.length("_text") / 200 + 0.5).cast("int"), F.lit(30)))
-    merged = F.when(F.size("m") > 1, F.concat(F.lit(" ("), F.size("m").cast("string"), F.lit(" messages merged)"))).otherwise("")
-    named = F.array_join(entities(F.col("_text"), cap), ", ")
-    short = short.withColumn("_summary", F.concat(F.lit("[summary: "), F.col("_summary"), merged)).withColumn("_named", F.when(named != "", F.concat(F.lit(" | entities: "), named)).otherwise(""))
-    size = F.col("input_chars")
-    long_one, bare = F.concat("_summary", "_named", F.lit("]")), F.concat("_summary", F.lit("]"))
-    done = short.withColumn("_out", F.when(utf16_length(long_one) < size, long_one).when(utf16_length(bare) < size, bare)).drop("_summary", "_named")
-    copy = F.concat(F.lit(f"[{options.tag} "), F.get("m", F.lit(0))["of"], F.lit(" \u2014 "), F.col("input_chars").cast("string"), F.lit(" chars]"))
-    rest = kept.withColumn("_out", F.when(is_copy, copy)).drop("_summary", "_named")
-    both = done.unionByName(rest)
-    # A summary that isn't shorter leaves its messages as they were.
-    each = both.select("conv_id", "role", "reason", "input_chars", "_out", F.explode(F.when(F.col("_out").isNotNull(), F.array(F.col("m"))).otherwise(F.transform("m", lambda x: F.array(x)))).alias("m"))
-    content = F.coalesce("_out", F.get("m", F.lit(0))["content"])
-    action = F.when(F.col("_out").isNull(), "preserved").when(is_copy, "deduped").otherwise("compressed")
+    parents = F.array_compact(F.transform("m", lambda x: x["original"]["summary_id"]))
+    made = F.struct(_members("key").alias("ids"), F.col("summary_id"), F.when(F.size(parents) > 0, parents).alias("parent_ids"), F.col("version")).cast(ORIGINAL)
+    each = units.select("conv_id", "out", "reason", action().alias("action"), F.when(F.col("out").isNotNull(), made).alias("made"), F.explode(F.when(F.col("out").isNotNull(), F.array("m")).otherwise(F.transform("m", lambda x: F.array(x)))).alias("m"))
+    first = F.get("m", F.lit(0))
+    content = F.coalesce("out", first["content"])
     return each.select(
         "conv_id",
-        F.get("m", F.lit(0))["pos"].alias("pos"),
-        "role",
+        first["pos"].alias("pos"),
+        first["id"].alias("id"),
+        first["role"].alias("role"),
         content.alias("content"),
-        F.transform("m", lambda x: x["id"]).alias("ids"),
-        action.alias("action"),
-        F.aggregate("m", F.lit(0), lambda a, x: a + utf16_length(x["content"])).alias("input_chars"),
+        first["tool_calls"].alias("tool_calls"),
+        F.coalesce("made", first["original"]).alias("original"),
+        _members("id").alias("ids"),
+        "action",
+        "reason",
+        F.aggregate("m", F.lit(0), lambda a, x: a + x["size"]).alias("input_chars"),
         utf16_length(content).alias("output_chars"),
     )
 
 
-def restore(compressed: DataFrame, originals: DataFrame) -> DataFrame:
-    """The messages that ``compressed`` stands for, with (conv_id, pos, id, role, content) of the originals; missing ids have null content."""
-    wanted = compressed.select("conv_id", F.col("pos").alias("_pos"), F.posexplode("ids").alias("_k", "id"))
-    found = wanted.join(originals.select("conv_id", "id", "pos", "role", "content"), ["conv_id", "id"], "left")
-    order = Window.partitionBy("conv_id").orderBy("_pos", "_k", "pos")
-    return found.select("conv_id", (F.row_number().over(order) - 1).alias("pos"), "id", "role", "content")
-
-
-def statistics(compressed: DataFrame) -> DataFrame:
-    """One row a conversation: messages by action, characters, ratio."""
-    count = lambda a: F.count_if(F.col("action") == a)
-    return compressed.groupBy("conv_id").agg(
-        F.sum(F.size("ids")).alias("messages_in"),
-        F.count("*").alias("messages_out"),
-        count("preserved").alias("preserved"),
-        count("deduped").alias("deduped"),
-        F.sum(F.when(F.col("action") == "compressed", F.size("ids")).otherwise(0)).alias("compressed"),
-        F.sum("input_chars").alias("input_chars"),
-        F.sum("output_chars").alias("output_chars"),
-    ).withColumn("ratio", F.round(F.col("input_chars") / F.greatest(F.col("output_chars"), F.lit(1)), 4))
+def verbatim(units: DataFrame) -> DataFrame:
+    """(conv_id, key, id, pos, role, content, tool_calls, original) of every message that a unit replaced; unique by (conv_id, key)."""
+    return units.where("out is not null").select("conv_id", F.explode("m").alias("x")).select("conv_id", "x.key", "x.id", "x.pos", "x.role", "x.content", "x.tool_calls", "x.original")
+
+
+def trace(units: DataFrame) -> DataFrame:
+    """(conv_id, message_index, message_id, action, reason, input_chars, output_chars), a row a message of the input."""
+    shared = F.when(F.col("out").isNull(), F.col("x.size")).otherwise(F.floor(utf16_length(F.col("out")) / F.col("n") + 0.5).cast("int"))
+    each = units.select("conv_id", "out", "kind", "reason", action().alias("action"), F.size("m").alias("n"), F.explode("m").alias("x"))
+    entered = F.when(F.col("kind") == "copy", F.col("x.room")).otherwise(F.col("x.size"))
+    return each.select("conv_id", F.col("x.pos").alias("message_index"), F.col("x.id").alias("message_id"), "action", "reason", entered.alias("input_chars"), shared.alias("output_chars"))
+
+
+def counted(units: DataFrame, options: CompressOptions) -> DataFrame:
+    """Counters, characters, tokens and ratios of each conversation; a ratio without any output is 1."""
+    n, done, stays = F.size("m"), F.col("out").isNotNull(), F.col("out").isNull()
+    count = lambda test: F.sum(F.when(test, n).otherwise(0)).cast("long")
+    of = lambda name: F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x[name])
+    after = F.when(done, options.token_counter(F.col("out")).cast("long")).otherwise(of("tokens"))
+    chars = F.when(done, utf16_length(F.col("out"))).otherwise(of("size"))
+    asked = F.size(F.filter("m", lambda x: F.coalesce(x["asked"], F.lit(False))))
+    sums = units.groupBy("conv_id").agg(
+        F.sum(n).alias("messages_in"),
+        F.sum(F.when(done, 1).otherwise(n)).alias("messages_out"),
+        count(done & F.col("kind").isin("prose", "code", "adapted", "chain")).alias("messages_compressed"),
+        count(stays).alias("messages_preserved"),
+        count(F.col("kind") == "copy").alias("messages_deduped"),
+        count(F.col("kind") == "near").alias("messages_fuzzy_deduped"),
+        count(done & (F.col("kind") == "superseded")).alias("messages_contradicted"),
+        count(stays & F.col("reason").startswith("pattern:")).alias("messages_pattern_preserved"),
+        F.sum(asked).alias("messages_llm_classified"),
+        count(stays & F.col("reason").startswith("llm_preserved:")).alias("messages_llm_preserved"),
+        count(stays & F.col("reason").startswith("importance:")).alias("messages_importance_preserved"),
+        count(done & F.col("reason").startswith("relevance_dropped:")).alias("messages_relevance_dropped"),
+        F.sum(of("size")).alias("input_chars"),
+        F.sum(chars).cast("long").alias("output_chars"),
+        F.sum(of("tokens")).alias("input_tokens"),
+        F.sum(after).alias("output_tokens"),
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(1.0)
+    return sums.withColumn("ratio", ratio("input_chars", "output_chars")).withColumn("token_ratio", ratio("input_tokens", "output_tokens"))
+
+
+def originals(units: DataFrame) -> DataFrame:
+    """The messages that the units were made of."""
+    return units.select("conv_id", F.explode("m").alias("x")).select("conv_id", "x.pos", "x.id", "x.role", "x.content", "x.tool_calls", "x.original")
+
+
+def statistics(done: Compressed) -> DataFrame:
+    """``counted`` with the quality measures, null where nothing was compressed, and what the prepass and the budget add."""
+    out = counted(done.units, done.options).withColumn("original_version", F.lit(done.options.source_version).cast("long"))
+    measures = quality(originals(done.units), result_messages(done.units))
+    out = out.join(measures, "conv_id", "left")
+    changed = (F.col("messages_compressed") + F.col("messages_deduped") + F.col("messages_fuzzy_deduped") + F.col("messages_contradicted")) > 0
+    for name in ("entity_retention", "structural_integrity", "reference_coherence", "quality_score"):
+        out = out.withColumn(name, F.when(changed, F.col(name)))
+    if done.prepass is not None:
+        trimmed = done.prepass.select("conv_id", (F.col("verbose_trimmed") + F.col("echo_trimmed") + F.col("expired_stubbed")).alias("messages_tool_prepass_trimmed"), F.col("chars_removed").alias("chars_tool_prepass_removed"))
+        out = out.join(trimmed, "conv_id", "left")
+    return out if done.fit is None else out.join(done.fit, "conv_id", "left")
