@@ -1,4 +1,4 @@
-"""Queries over the message operators, and the SQL that gives the same rows."""
+"""Queries over the message operators; ``weftline.plans.oracle`` has the SQL that gives the same rows, where SQL can."""
 
 from __future__ import annotations
 
@@ -8,14 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import content as C
-from weftline.functions import entities as ENT
+from weftline.functions import kernels as K
 from weftline.functions.entities import entities
+from weftline.functions.units import djb2, js_trim, tokens, utf16_length
 from weftline.operators import compress as X
+from weftline.operators import quality_metrics as Q
 from weftline.operators import references as R
+from weftline.operators.cluster import clusters
 from weftline.operators.contradiction import contradictions
-from weftline.operators.dedup import exact_duplicates, recency_start
-from weftline.operators.quality_metrics import quality
-from weftline.sources.messages import from_conversations, from_documents, utf16_length
+from weftline.operators.decisions import annotated, decisions, features, ruled, whole
+from weftline.operators.dedup import exact_duplicates, fuzzy_duplicates, near_pairs, recency_start
+from weftline.operators.feedback import distillation_pairs
+from weftline.operators.flow import flow_chains
+from weftline.operators.options import CompressOptions
+from weftline.operators.prepass import tool_prepass
+from weftline.operators.restore import restore, restored
+from weftline.runtime import materialize, scratch
+from weftline.sources.messages import from_conversations, from_documents, renumbered
+from weftline.sources.store import load, publish
+
+#: Every relation between messages at once.
+ALL = CompressOptions(recency_window=2, fuzzy_dedup=True, importance_scoring=True, contradiction_detection=True, conversation_flow=True, semantic_clustering=True, coreference=True)
+NO_CAP = 2**31 - 1
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +37,31 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores (one small file) is dealt out; a large one isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def scripted(turns: DataFrame) -> DataFrame:
+    """Four messages a turn, so that every operator has something to find: the text, a correction of it, a near copy, a copy."""
+    t = turns.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("k"))
+    content = (
+        F.when(F.col("k") == 1, F.concat(F.lit("Actually, we should use the "), "role", F.lit("_store api, not the old one. "), "content"))
+        .when(F.col("k") == 2, F.concat("content", F.lit("\nReviewed by fetchData on line "), F.col("pos").cast("string")))
+        .otherwise(F.col("content"))
+    )
+    return t.select("conv_id", (F.col("pos") * 4 + F.col("k")).alias("pos"), F.concat_ws("-", "id", F.col("k").cast("string")).alias("id"), "role", content.alias("content"), "tool_calls")
+
+
+def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripted(_turns(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------------------------------------- rows by themselves
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +70,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
-    tokens = F.ceil(utf16_length(F.col("content")) / F.lit(3.5)).cast("long")
-    return t.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("largest"))
+    n = tokens(F.col("content"))
+    return t.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(n).alias("tokens"), F.max(n).alias("largest"))
 
 
 def recency_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +86,6 @@ def role_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("conv_id", "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.min("role").alias("role"), F.sum(utf16_length(F.col("content"))).alias("chars"))
 
 
-def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(from_documents(_docs(spark, sf_dir)))
-
-
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", F.col("text"), C.reasons(F.col("text")).alias("found"))
     tier, confidence = C.classified(F.col("text"), F.col("found"))
@@ -59,147 +93,220 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", entities(F.col("text"), 500).alias("found")).select("doc_id", F.size("found").alias("n"), F.array_join("found", "␟").alias("entities"))
+    return _docs(spark, sf_dir).select("doc_id", entities(F.col("text"), NO_CAP).alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.array_join(F.sort_array("found"), "|").alias("entities"))
 
 
-def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.decisions(from_documents(_docs(spark, sf_dir))).groupBy("reason").agg(F.count("*").alias("messages"), F.sum(utf16_length(F.col("content"))).alias("chars"))
+def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = js_trim(F.col("props"))
+    valid = F.coalesce(props.rlike(r"^[\[{]") & F.try_parse_json(props).isNotNull(), F.lit(False))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(valid).alias("valid"))
 
 
-def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.compress(from_documents(_docs(spark, sf_dir)))
+def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
 
+    score = F.arrow_udf(lambda t: pa.array([K.best_sentence_score(x or "") for x in t.to_pylist()], pa.int64()), "long")
+    return _script(spark, sf_dir).select("conv_id", "pos", score("content").alias("score"))
 
-def compressed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.compress(_turns(spark, sf_dir))
 
+def summary_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
 
-def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.statistics(X.compress(_turns(spark, sf_dir)))
+    def depth(name: str):
+        return F.arrow_udf(lambda n: pa.array([K.budget(x, None, name) for x in n.to_pylist()], pa.int64()), "long")
 
+    d = _docs(spark, sf_dir).select("doc_id", utf16_length(F.col("text")).alias("n"))
+    return d.select("doc_id", *[depth(name)("n").alias(name) for name in K.SCALE])
 
-def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compress and restore; the SQL is the input itself."""
+
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", Q.structural_elements(F.col("html")).cast("long").alias("elements"))
+
+
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
-    return X.restore(X.compress(t), t)
+    return t.select("id", djb2(F.col("id")).alias("id_hash"), djb2(F.col("content"), prefixed=True).alias("content_hash"))
 
 
-def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.importance(_turns(spark, sf_dir))
+# ----------------------------------------------------------------------------------------------------- messages among others
 
 
-def coreference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.coreference(from_documents(_docs(spark, sf_dir))).select("conv_id", "entity", "defined_at", F.array_join("referenced_at", ",").alias("referenced_at"))
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_script(spark, sf_dir))
+
+
+def document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(from_documents(_docs(spark, sf_dir)))
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.near_pairs(from_documents(_docs(spark, sf_dir)))
+    return near_pairs(_script(spark, sf_dir))
+
+
+def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_duplicates(_script(spark, sf_dir))
+
+
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.importance(_script(spark, sf_dir))
+
+
+def coreference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.coreference(_script(spark, sf_dir)).select("conv_id", "entity", "defined_at", F.array_join("referenced_at", ",").alias("referenced_at"))
 
 
 def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradictions(_turns(spark, sf_dir))
+    return contradictions(_script(spark, sf_dir)).select("conv_id", "pos", "superseded_by", "superseded_by_id", "overlap", "signal")
+
+
+def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions(_script(spark, sf_dir)).select("conv_id", "pos", "reason", "duplicate_of_id", "preserved")
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = CompressOptions(recency_window=2)
+    return materialize(ruled(annotated(features(_script(spark, sf_dir), o), o), o), "ruled")
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_chains(_ruled(spark, sf_dir)).select("conv_id", "first", F.array_join("members", ",").alias("members"), "accepted", "reason", "tag")
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_ruled(spark, sf_dir)).select("conv_id", "first", F.array_join("members", ",").alias("members"), "accepted", "reason", "tag")
+
+
+def trimmed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of the script as tool messages, which echo the assistant."""
+    s = _script(spark, sf_dir).withColumn("role", F.when(F.col("pos") % 4 == 3, "tool").otherwise(F.col("role")))
+    return tool_prepass(whole(s))[0].select("conv_id", "pos", "id", "role", "content")
+
+
+# ------------------------------------------------------------------------------------------------------------- compression
+
+
+def compressed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(X.compress(_turns(spark, sf_dir)).messages)
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(X.compress(from_documents(_docs(spark, sf_dir))).messages)
+
+
+def compressed_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(X.compress(_script(spark, sf_dir), ALL).messages)
+
+
+def _shown(result: DataFrame) -> DataFrame:
+    return result.select("conv_id", "pos", "id", "role", "content", "ids", F.col("original.summary_id").alias("summary_id"), "action", "reason", "input_chars", "output_chars")
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.compress(_script(spark, sf_dir), ALL).trace
+
+
+def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(X.compress(_turns(spark, sf_dir))).stats
+
+
+def _kept(done: X.Compressed) -> X.Compressed:
+    return X.Compressed(materialize(done.units, "units"), done.options, done.prepass, done.fit)
 
 
 def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _turns(spark, sf_dir)
-    return quality(t, X.compress(t))
+    done = _kept(X.compress(_script(spark, sf_dir)))
+    return Q.compressed_quality(done.messages, done.verbatim)
+
+
+def message_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _kept(X.compress(_script(spark, sf_dir)))
+    return Q.message_quality(done.messages, done.verbatim)
+
+
+def distilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _kept(X.compress(_script(spark, sf_dir)))
+    return distillation_pairs(done.messages, done.verbatim)
+
+
+def _half(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A script and what a plain rule keeps of it: texts and their copies stay."""
+    s = _script(spark, sf_dir)
+    return s, s.where(F.col("pos") % 2 == 0)
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.quality(*_half(spark, sf_dir))
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.retention(*_half(spark, sf_dir))
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compress, publish, read what was published and restore; the SQL is the input itself."""
+    at = scratch(spark, "store")
+    publish(X.compress(_script(spark, sf_dir)), at)
+    return restored(*load(spark, at)).select("conv_id", "pos", "id", "role", "content")
+
+
+def round_trip_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compress what was compressed, and restore all the way."""
+    at = scratch(spark, "store")
+    publish(X.compress(_script(spark, sf_dir)), at)
+    again = renumbered(load(spark, at)[0])
+    # The second time summaries may be grouped like any message.
+    loose = again.withColumn("content", F.concat(F.lit("Before: "), "content"))
+    publish(X.compress(loose, CompressOptions(recency_window=0, dedup=False)), at)
+    back = restore(*load(spark, at), recursive=True).messages
+    return back.select("conv_id", "pos", "id", "role", F.when(F.col("content").startswith("Before: "), F.substring(F.col("content"), 9, NO_CAP)).otherwise(F.col("content")).alias("content"))
+
+
+def fit_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = X.compress(_turns(spark, sf_dir), CompressOptions(token_budget=400, force_converge=True))
+    return done.fit
+
+
+def fit_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = X.compress(_turns(spark, sf_dir), CompressOptions(token_budget=400, budget_strategy="tiered", force_converge=True))
+    return done.fit
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compress_conversations": compressed_turns,
     "compress_documents": compressed,
+    "compress_related": compressed_related,
     "compression_stats": compression_stats,
+    "compression_quality": compression_quality,
+    "message_quality": message_quality,
+    "decision_trace": trace,
+    "distillation_pairs": distilled,
     "round_trip": round_trip,
+    "round_trip_twice": round_trip_twice,
+    "fit_binary": fit_binary,
+    "fit_tiered": fit_tiered,
     "messages": messages,
     "token_estimate": token_estimate,
     "recency_window": recency_window,
     "role_runs": role_runs,
-    "exact_duplicates": duplicates,
     "classify": classify,
     "entities": entity_sets,
-    "decisions": decide,
+    "json_validity": json_validity,
+    "best_sentence": best_sentence,
+    "summary_budget": summary_budget,
+    "structural_elements": structure,
+    "text_hashes": text_hashes,
+    "exact_duplicates": duplicates,
+    "document_duplicates": document_duplicates,
+    "fuzzy_pairs": fuzzy_pairs,
+    "fuzzy_groups": fuzzy_groups,
     "importance": importance,
     "coreference": coreference,
-    "fuzzy_pairs": fuzzy_pairs,
     "contradictions": superseded,
-    "compression_quality": compression_quality,
-}
-
-_T = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
-  CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, role, text AS content FROM conversations)"""
-_D = """d AS (SELECT source AS conv_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
-  CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content, count(*) OVER (PARTITION BY source) AS n FROM documents),
-e AS (SELECT *, greatest(0, n - 4) AS start FROM d WHERE length(content) >= 200 AND NOT starts_with(content, '[summary:')
-  AND NOT starts_with(content, '[summary#') AND NOT starts_with(content, '[truncated')),
-k AS (SELECT *, coalesce(min(CASE WHEN pos >= start AND start > 0 THEN pos END) OVER (PARTITION BY conv_id, content),
-  max(pos) OVER (PARTITION BY conv_id, content)) AS duplicate_of FROM e)"""
-
-
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def _has(pattern: str) -> str:
-    return f"regexp_matches(x, {_q(pattern.replace('\\"', '"'))})"
-
-
-def _set(pattern: str) -> str:
-    return f"list_distinct([regexp_replace(lower(y), '\\s+', ' ', 'g') for y in regexp_extract_all(x, {_q(pattern)})])"
-
-
-def _names(words: list[str]) -> str:
-    return "[" + ", ".join(_q(w.replace("_", " ")) for w in words) + "]"
-
-
-def _reasons() -> dict[str, str]:
-    lengths = r"[length(y) for y in string_split(x, chr(10))]"
-    tests = {k: _has(p) for k, p in C.STRUCTURE.items()}
-    tests["high_line_length_variance"] = f"(len({lengths}) > 3 AND list_sum({lengths}) > 0 AND list_sum([y * y for y in {lengths}]) * len({lengths}) > 2.44 * list_sum({lengths}) * list_sum({lengths}))"
-    tests["high_special_char_ratio"] = f"len(regexp_extract_all(x, {_q(C.SPECIAL)})) > greatest(length(x), 1) * 0.15"
-    sql = _set(C.KEYWORD)
-    tests["sql_content"] = f"(list_has_any({sql}, {_names(C.STRONG_SQL)}) OR (len({sql}) >= 3 AND list_has_any({sql}, {_names(C.WEAK_SQL)})))"
-    loose = r"\b[a-zA-Z][a-zA-Z0-9]{1,14}[_-][\w-]{20,}\b"
-    whole = "regexp_extract_all(x, " + _q(loose) + ")"
-    fine = f"[y for y in {whole} if regexp_matches(y, '^[a-zA-Z0-9]*[g-zG-Z][a-zA-Z0-9]*[_-]') AND regexp_matches(regexp_replace(y, '^[a-zA-Z0-9]+[_-]', ''), '[0-9]')]"
-    tests["api_key"] = f"({_has(C.KEYS)} OR (len({fine}) > 0 AND NOT regexp_matches(regexp_replace({fine}[1], '^[a-zA-Z0-9]+[_-]', ''), {_q(C.HYPHENATED)})))"
-    markers = f"(len({_set(C.WEAK)}) + len({_set(C.SEQUENCE)}))"
-    tests["reasoning_chain"] = f"({_has(C.LABELLED)} OR {_has(C.INFERENCE)} OR (len(regexp_extract_all(x, {_q(C.STEP)})) >= 3 AND {markers} >= 1) OR {markers} >= 3)"
-    return tests | {k: _has(p) for k, p in (C.INCIDENTAL | C.FAILURE).items()}
-
-
-def _classify_sql() -> str:
-    array = ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _reasons().items())
-    return f"""WITH s AS (SELECT doc_id, x, [y for y in [{array}] if y IS NOT NULL] AS found FROM (SELECT doc_id, text AS x FROM documents))
-SELECT doc_id, CASE WHEN len(found) > 0 THEN 'T0' WHEN len(regexp_split_to_array(x, '\\s+')) < 20 THEN 'T2' ELSE 'T3' END AS tier,
-  CAST(CASE WHEN len(found) > 0 THEN round(least(0.95, 0.7 + len(found) * 0.05), 2) ELSE 0.65 END AS DOUBLE) AS confidence,
-  array_to_string(found, ',') AS reasons, list_has_any(found, [{", ".join(_q(w) for w in sorted(C.HARD))}]) AS hard FROM s"""
-
-
-ORACLE_SQL: dict[str, str] = {
-    "messages": f"WITH {_T} SELECT conv_id, pos, id, role, content FROM t",
-    "round_trip": f"WITH {_T} SELECT conv_id, pos, id, role, content FROM t",
-    "token_estimate": f"WITH {_T} SELECT conv_id, count(*) AS messages, CAST(sum(ceil(length(content) / 3.5)) AS BIGINT) AS tokens, CAST(max(ceil(length(content) / 3.5)) AS BIGINT) AS largest FROM t GROUP BY conv_id",
-    "recency_window": f"WITH {_T}, c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM t) SELECT conv_id, pos, id, role FROM c WHERE pos >= greatest(0, n - 4)",
-    "role_runs": f"""WITH {_T}, f AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY pos) IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS fresh FROM t),
-r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS run FROM f)
-SELECT conv_id, run, min(pos) AS first_pos, count(*) AS n, min(role) AS role, CAST(sum(length(content)) AS BIGINT) AS chars FROM r GROUP BY conv_id, run""",
-    "exact_duplicates": f"WITH {_D} SELECT k.conv_id, k.pos, k.duplicate_of, d.id AS duplicate_of_id, length(k.content) AS content_length FROM k JOIN d ON d.conv_id = k.conv_id AND d.pos = k.duplicate_of WHERE k.pos <> k.duplicate_of",
-    "classify": _classify_sql(),
-    "importance": f"""WITH {_T}, x AS (SELECT conv_id, pos, coalesce(content, '') AS x FROM t),
-e AS (SELECT DISTINCT conv_id, pos, lower(y) AS entity FROM (SELECT conv_id, pos, unnest(list_concat({", ".join(f"regexp_extract_all(x, {_q(p)})" for p in (ENT.CAMEL, ENT.PASCAL, ENT.SNAKE, ENT.VOWELLESS, R.PLACES))})) AS y FROM x)),
-r AS (SELECT a.conv_id, a.pos, count(DISTINCT b.pos) AS refs FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.entity = b.entity AND b.pos > a.pos GROUP BY 1, 2),
-s AS (SELECT x.conv_id, x.pos, coalesce(refs, 0) AS refs, least(40, CASE WHEN {_has(R.DECIDED)} THEN 15 ELSE 0 END + CASE WHEN {_has(R.CORRECTED)} THEN 25 ELSE 0 END + CASE WHEN {_has(R.LIMITED)} THEN 10 ELSE 0 END) AS s,
-  max(coalesce(refs, 0)) OVER (PARTITION BY x.conv_id) AS most, count(*) OVER (PARTITION BY x.conv_id) AS n FROM x LEFT JOIN r ON r.conv_id = x.conv_id AND r.pos = x.pos)
-SELECT conv_id, pos, refs, round(least(1.0::DOUBLE, CASE WHEN most > 0 THEN refs::DOUBLE / most * 0.5::DOUBLE ELSE 0 END + s::DOUBLE / 100 + pos::DOUBLE / greatest(n - 1, 1) * 0.1::DOUBLE), 6) AS importance FROM s""",
-    "coreference": f"""WITH {_D}, ids AS (SELECT DISTINCT conv_id, pos, entity FROM (SELECT conv_id, pos, unnest(list_concat({", ".join(f"regexp_extract_all(content, {_q(p)})" for p in (ENT.CAMEL, ENT.PASCAL, ENT.SNAKE))})) AS entity FROM d)),
-g AS (SELECT conv_id, entity, list(pos ORDER BY pos) AS places FROM ids GROUP BY ALL HAVING count(*) > 1)
-SELECT conv_id, entity, CAST(places[1] AS INTEGER) AS defined_at, array_to_string(places[2:], ',') AS referenced_at FROM g""",
-    "fuzzy_pairs": f"""WITH {_D}, m AS (SELECT d.conv_id, d.pos, length(d.content) AS size, [y FOR y IN [lower(trim(z, ' ')) FOR z IN string_split(d.content, chr(10))] IF y <> ''] AS l
-  FROM d JOIN e ON e.conv_id = d.conv_id AND e.pos = d.pos WHERE (d.conv_id, d.pos) NOT IN (SELECT (conv_id, pos) FROM k WHERE pos <> duplicate_of)),
-f AS (SELECT * FROM m WHERE len(l) >= 2), h AS (SELECT conv_id, pos, unnest(l[1:5]) AS line FROM f),
-c AS (SELECT x.conv_id, x.pos AS a, y.pos AS b FROM h x JOIN h y ON x.conv_id = y.conv_id AND x.line = y.line AND x.pos < y.pos GROUP BY ALL HAVING count(*) >= 3),
-w AS (SELECT conv_id, pos, line, count(*) AS n FROM (SELECT conv_id, pos, unnest(l) AS line FROM f) GROUP BY ALL),
-i AS (SELECT c.conv_id, c.a, c.b, sum(least(p.n, q.n)) AS common FROM c JOIN w p ON p.conv_id = c.conv_id AND p.pos = c.a JOIN w q ON q.conv_id = c.conv_id AND q.pos = c.b AND q.line = p.line GROUP BY ALL),
-r AS (SELECT i.*, common::DOUBLE / (len(x.l) + len(y.l) - common) AS s, x.size AS sa, y.size AS sb FROM i JOIN f x ON x.conv_id = i.conv_id AND x.pos = i.a JOIN f y ON y.conv_id = i.conv_id AND y.pos = i.b)
-SELECT conv_id, a, b, round(s, 6) AS similarity FROM r WHERE s >= 0.85 AND least(sa, sb) >= greatest(sa, sb) * 0.7""",
+    "decisions": decide,
+    "flow_chains": chains,
+    "clusters": clustered,
+    "tool_prepass": trimmed_tools,
+    "quality_measures": quality_measures,
+    "retention": retention,
 }

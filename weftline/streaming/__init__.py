@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Messages as they arrive."""
