@@ -4,6 +4,7 @@ import json
 
 from weftline.operators.quality_metrics import quality
 from weftline.sources.sessions import read_sessions
+from weftline.sources.store import discover
 
 
 def test_sessions(spark, tmp_path):
@@ -19,8 +20,16 @@ def test_sessions(spark, tmp_path):
     assert got == [(0, "u1", "user", "hello there", False), (1, "a1", "assistant", 'I look.\n[tool_call: read({"path":"a.ts"})]', True), (2, "msg-3", "tool", "one\ntwo\nthree", False)]
 
 
+def test_session_discovery(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 300), ("c", 50)):
+        (tmp_path / f"{name}.jsonl").write_text("x" * n)
+    (tmp_path / "d.txt").write_text("y" * 999)
+    got = [(r["path"].rsplit("/", 1)[-1], r["length"]) for r in discover(spark, str(tmp_path), 2).collect()]
+    assert got == [("b.jsonl", 300), ("c.jsonl", 50)]
+
+
 def test_quality(spark):
     before = spark.createDataFrame([(1, "a", "fetchData calls user_id"), (1, "b", "sendMail\n```\nx\n```"), (2, "c", None)], "conv_id long, id string, content string")
-    after = spark.createDataFrame([(1, ["a"], "fetchData calls user_id")], "conv_id long, ids array<string>, content string")
+    after = spark.createDataFrame([(1, "a", "fetchData calls user_id")], "conv_id long, id string, content string")
     got = {r["conv_id"]: tuple(r)[1:] for r in quality(before, after).collect()}
     assert got == {1: (0.667, 0.0, 1.0, 0.467), 2: (1.0, 1.0, 1.0, 1.0)}
