@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.runtime import BROADCAST_LIMIT_BYTES
+
 #: Statistics in order; each is a ratio or a length that means the same at any corpus size.
 FEATURES = ["n_words", "word_length", "upper_share", "digit_share", "mark_share", "symbol_share", "letter_share", "distinct_words", "line_words", "repeated_lines", "end_share", "bar_share"]
 
@@ -188,8 +190,9 @@ def labelled(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tuple
     n = labels.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     some = labels.where(draw <= int(min(1.0, params.max_labelled / max(1, n)) * (1 << 30)))
-    # At most about max_labelled ids, so this side may always be broadcast; texts meet it before their statistics are made.
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # About max_labelled ids are expected; they are counted before they are sent. Texts meet them before their statistics are made.
+    side = F.broadcast(some) if some.count() * 16 <= BROADCAST_LIMIT_BYTES else some
+    joined = docs.select("doc_id", "text").join(side, "doc_id")
     rows = statistics(joined).select("doc_id", "quality", F.col("_s.*")).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES], kind="stable")
     return rows[FEATURES].to_numpy(np.float64), rows["quality"].to_numpy()

@@ -25,6 +25,7 @@ import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.batches import keep_rows, map_rows
+from weftline.llm import cutting
+from weftline.llm.batches import keep_rows, map_rows, remembered, utf8_bytes
+from weftline.runtime import BROADCAST_LIMIT_BYTES
 
 LENGTH = 4
 DECAY = 0.75
@@ -40,8 +43,8 @@ NO_WORDS = -9.0
 SHORT = 8
 #: Longer words are scored as overlapping stretches of this length.
 LONGEST = 64
-#: Remembered scores of words, and of tokens, of a worker; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 900_000
+#: Tokens whose scores a worker remembers, 17 bytes each; beyond it the memory is emptied, which costs time only.
+REMEMBERED = 3_000_000
 
 SCHEMA = T.StructType(
     [
@@ -347,8 +350,10 @@ def labelled(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> list
     wanted = F.lit(False)
     for toxic, n in size.items():
         wanted = wanted | ((F.col("toxic") == toxic) & (draw < int(min(1.0, params.max_labelled / 2 / n) * (1 << 30)) + 1))
-    # At most about max_labelled ids, so this side may always be broadcast.
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(labels.where(wanted)), "doc_id").collect()
+    some = labels.where(wanted)
+    # About max_labelled ids are expected; they are counted before they are sent.
+    side = F.broadcast(some) if some.count() * 16 <= BROADCAST_LIMIT_BYTES else some
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(side, "doc_id").collect()
     return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
@@ -359,74 +364,97 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 # --------------------------------------------------------------------------------------------------------------- scoring
 
 
-class Scorer:
-    """Scores texts, remembering the scores of words and of tokens."""
+@cache
+def _between_blanks() -> np.ndarray:
+    """By code point: what ``str.split`` separates by is a gap, anything else belongs to a token."""
+    out = np.full(0x110000, cutting.WORD, np.uint8)
+    out[[i for i, c in enumerate(cutting.code_points()) if c.isspace()]] = cutting.GAP
+    return out
 
-    def __init__(self, model: ToxicityModel):
-        self.model, self.known = model, {}
-        self.tokens: dict[str, float] = {}
-        self.lone: set[str] = set()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        values = np.round(similarity(words, self.model.landmarks) @ self.model.weights + self.model.bias, 4)
-        self.known.update(zip(words, values.tolist()))
+class Scorer:
+    """Scores texts, remembering the scores of tokens by their keys, in sorted arrays."""
 
-    def learn_tokens(self, tokens: set[str]) -> None:
-        if len(self.tokens) + len(tokens) > REMEMBERED:
-            self.tokens, self.lone = {}, set()
-        words = [pieces(word_in(t)) for t in tokens]
-        self.learn(sorted({x for w in words for x in w} - self.known.keys() - {""}))
-        self.tokens.update((t, max(self.known[x] for x in w) if w[0] else NO_WORDS) for t, w in zip(tokens, words))
-        self.lone.update(t for t in tokens if (len(t) == 1 and t.isalpha()) or (not t.isalpha() and SINGLE.search(t)))
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self.keys, self.values, self.lone = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+        self.known: dict[str, float] = {}  # of the words of toxic texts
+
+    def words(self, words: list[str]) -> np.ndarray:
+        return np.round(similarity(words, self.model.landmarks) @ self.model.weights + self.model.bias, 4)
+
+    def _tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(score, whether a letter stands alone in it) of each token."""
+        parts = [pieces(word_in(t)) for t in tokens]
+        flat = sorted({x for p in parts for x in p} - {""})
+        score = dict(zip(flat, self.words(flat).tolist())) if flat else {}
+        values = np.array([max(score[x] for x in p) if p[0] else NO_WORDS for p in parts])
+        lone = np.fromiter(((len(t) == 1 and t.isalpha()) or (not t.isalpha() and SINGLE.search(t) is not None) for t in tokens), bool, len(tokens))
+        return values, lone
+
+    def _remember(self, keys: np.ndarray, tokens: list[str]) -> None:
+        """``keys``: sorted, and none known yet."""
+        done = [self._tokens(tokens[k : k + 20_000]) for k in range(0, len(tokens), 20_000)]
+        values, lone = (np.concatenate(x) for x in zip(*done))
+        if len(self.keys) + len(keys) > REMEMBERED:
+            self.keys, self.values, self.lone = keys, values, lone
+            return
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values, self.lone = np.insert(self.keys, at, keys), np.insert(self.values, at, values), np.insert(self.lone, at, lone)
+
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of sorted keys, which of them are remembered)."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool))
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The score of each text, and its number of toxic sentences."""
         score, count = np.full(len(texts), NO_WORDS), np.zeros(len(texts), np.int32)
         if not len(self.model.weights):
             return score, count
-        rows = [t.lower().split() if t else [] for t in texts]
-        sets = [set(r) for r in rows]
-        new = set().union(*sets) - self.tokens.keys() if sets else set()
-        if len(self.tokens) + len(new) > REMEMBERED:
-            self.tokens, self.lone = {}, set()
-            new = set().union(*sets)
-        self.learn_tokens(new)
-        letters = [spelled(r, s & self.lone) for r, s in zip(rows, sets)]
-        more = set().union(*letters) - self.known.keys() if letters else set()
-        if more:
-            self.learn(sorted(more))
-        get = self.tokens.__getitem__
-        for i, tokens in enumerate(sets):
-            if tokens:
-                best = max(map(get, tokens))
-                for w in letters[i]:
-                    if w not in self.known:
-                        self.learn([w])
-                    best = max(best, self.known[w])
-                score[i] = best
-                if best > 0:
-                    count[i] = max(1, sum(1 for s in SENTENCE.split(texts[i]) if self._bad(s)))
+        data, offsets = utf8_bytes(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+        low, high, owner = cutting.runs(data, offsets, _between_blanks(), cutting.WORD)
+        if not len(low):
+            return score, count
+        keys, first, number = np.unique(cutting.keys(data, low, high), return_index=True, return_inverse=True)
+        _, hit = self._look(keys)
+        if len(new := np.flatnonzero(~hit)):
+            if len(self.keys) + len(new) > REMEMBERED:  # all of this slice's tokens must be there afterwards
+                self.keys, new = np.zeros(0, np.uint64), np.arange(len(keys))
+                self.values, self.lone = np.zeros(0), np.zeros(0, bool)
+            self._remember(keys[new], [data[a:b].tobytes().decode() for a, b in zip(low[first[new]].tolist(), high[first[new]].tolist())])
+        at, _ = self._look(keys)
+        values, lone = self.values[at][number], self.lone[at][number]
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        score[owner[starts]] = np.maximum.reduceat(values, starts)
+        # A spelled-out word is in one token that is long enough, or runs over adjacent tokens with letters that stand alone.
+        spelled_out = lone & (high - low >= 2 * LENGTH - 1)
+        spelled_out[:-1] |= lone[:-1] & lone[1:] & (owner[:-1] == owner[1:])
+        letters = {}
+        for i in np.unique(owner[spelled_out]).tolist():
+            row = texts[i].lower().split()
+            letters[i] = spelled(row, {w for w in set(row) if (len(w) == 1 and w.isalpha()) or (not w.isalpha() and SINGLE.search(w))})
+        found = self._words(set().union(*letters.values()))
+        for i, words in letters.items():
+            score[i] = max([score[i], *(found[w] for w in words)])
+        sentences = {i: [words_of(s) for s in SENTENCE.split(texts[i])] for i in np.flatnonzero(score > 0).tolist()}
+        found = self._words(set().union(*(w for row in sentences.values() for w in row)))
+        for i, row in sentences.items():
+            count[i] = max(1, sum(1 for words in row if any(found[w] > 0 for w in words)))
         return score, count
 
-    def _bad(self, sentence: str) -> bool:
-        words = words_of(sentence)
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        return any(self.known.get(w, NO_WORDS) > 0 for w in words)
-
-
-#: The scorer of the model that this worker used last: a worker runs many tasks, which share its memory of words.
-_last: tuple[str, Scorer] | None = None
+    def _words(self, words: set[str]) -> dict[str, float]:
+        if len(self.known) > REMEMBERED // 20:  # words are held as such, so fewer of them
+            self.known = {}
+        if new := sorted(words - self.known.keys()):
+            self.known.update(zip(new, self.words(new).tolist()))
+        return {w: self.known[w] for w in words}
 
 
-def scorer_of(name: str, model: ToxicityModel) -> Scorer:
-    global _last
-    if _last is None or _last[0] != name:
-        _last = (name, Scorer(model))
-    return _last[1]
+def scorer_of(name: str, model) -> Scorer:
+    """The worker's scorer of a broadcast model, with its memory of words, kept from task to task."""
+    return remembered(name, lambda: Scorer(model.value))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -434,7 +462,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        scorer = scorer_of(name, shared.value)
+        scorer = scorer_of(name, shared)
 
         def kernel_of(part: pa.RecordBatch) -> list:
             value, count = scorer.texts(part.column(1).to_pylist())
@@ -450,7 +478,7 @@ def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        scorer = scorer_of(name, shared.value)
+        scorer = scorer_of(name, shared)
         return lambda texts: scorer.texts(texts.to_pylist())[0] <= 0
 
     return keep_rows(docs, make)
