@@ -76,7 +76,7 @@ class XmlAdapter:
     """Tags and short values stay; long text nodes and comments are summarised."""
 
     name = "xml"
-    opening = re.compile(r"\s*(?:<\?xml[^>]*\?>\s*)?<[a-zA-Z]")
+    opening = re.compile(r"(?:\s*<\?xml[^>]*\?>)?\s*<[A-Za-z]")
     closing = re.compile(r"</[a-zA-Z]")
     node = re.compile(r">([^<]+)<")
     comment = re.compile(r"<!--(.*?)-->", re.S)
@@ -98,8 +98,8 @@ class YamlAdapter:
     """Keys with short or atomic values stay; long values are summarised."""
 
     name = "yaml"
-    key = re.compile(r"[ \t]*(\w[\w.-]*)\s*:\s*([^" + LINE_ENDS + "]*)", re.ASCII)
-    plain = re.compile(r"(?:true|false|null|~|\d[\d.,_]*(?:e[+-]?\d+)?)", re.ASCII | re.I)
+    key = re.compile(r"[ \t]*(\w[.\w-]*)\s*:\s*([^" + LINE_ENDS + "]*)", re.ASCII)
+    plain = re.compile(r"~|null|false|true|[0-9][0-9_.,]*(?:e[-+]?[0-9]+)?", re.ASCII | re.I)
 
     def detect(self, text: str) -> bool:
         """Four lines or more besides comments, over 35 % of them with a key."""

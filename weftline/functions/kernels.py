@@ -41,7 +41,7 @@ def rounded(x: float) -> int:
     return math.floor(x + 0.5)
 
 
-# ------------------------------------------------------------------------------------------------------------- sentences
+# -- sentences
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]+")
 
@@ -119,7 +119,7 @@ def _fit(text: str, budget: int) -> str:
     return head(text, budget - 3) + "..." if size(text) > budget else text
 
 
-# --------------------------------------------------------------------------------------------------------- outside scores
+# -- outside scores
 
 
 def normalize_scores(scores: Sequence[float]) -> list[float]:
@@ -148,7 +148,7 @@ def entropy_scores(text: str, scorer: Callable[[list[str]], Sequence[float]], mo
     return [20 * x for x in combine_scores([sentence_score(s) for s in sentences], outside[: len(sentences)])]
 
 
-# ------------------------------------------------------------------------------------------------------ structured output
+# -- structured output
 
 STRUCTURAL = _re(r"(?:\S+\.\w+:\d+:|[ \t]+[-•*]|[ \t]*\w[\w ./-]*:\s|(?:ERROR|FAIL|OK|PASS|SKIP|WARN|WARNING)\b)")
 OUTCOME = _re(r"\b(?:duration|error|fail|failed|pass|passed|tests?|total|warn|warning)\b", re.I)
@@ -182,7 +182,7 @@ def summarize_structured(text: str, budget: int) -> str:
     return _fit(" | ".join(map(trim, lines[:3])) + f" | ... | {trim(lines[-1])} ({len(lines)} lines)", budget)
 
 
-# --------------------------------------------------------------------------------------------------------- code and prose
+# -- code and prose
 
 FENCE = re.compile(r"^[ ]{0,3}```[^\n]*\n[\s\S]*?\n\s*```", re.M)
 
@@ -198,7 +198,7 @@ def split_code(text: str) -> tuple[list[str], list[str]]:
     return [p for p in prose if p], code
 
 
-# ---------------------------------------------------------------------------------------------------------------- budgets
+# -- budgets
 
 SCALE = {"gentle": 1.0, "moderate": 0.5, "aggressive": 0.15}
 
@@ -216,7 +216,7 @@ def budget(length: int, entities: int | None = None, depth: str = "gentle") -> i
     return max(least, min(rounded(length * 0.3 * scale), most))
 
 
-# --------------------------------------------------------------------------------------------------------- discourse units
+# -- discourse units
 
 BREAK = _re(
     r",\s*(?:and|but|or|so|yet|then|which|where|while|although|because|since|after|before|when|if|unless|as) |\s+(?:accordingly|additionally|consequently|furthermore|hence|however|instead|meanwhile|moreover|nevertheless|nonetheless|otherwise|therefore|thus)\s*[,.]?",
@@ -295,7 +295,7 @@ def summarize_units(text: str, budget: int, scorer: Callable[[str], float] | Non
     return " ".join(u.text for u in chosen) if chosen else trim(head(text, budget))
 
 
-# ---------------------------------------------------------------------------------------------------------- token dropping
+# -- token dropping
 
 
 def whitespace_tokens(text: str) -> list[str]:
@@ -315,7 +315,7 @@ def pattern_classifier(patterns: Sequence[str], confidence: float = 0.9) -> Call
     return lambda text: [(t, any(p.search(t) for p in compiled), confidence) for t in whitespace_tokens(text)]
 
 
-# --------------------------------------------------------------------------------------------------------------- entities
+# -- entities
 
 #: Capitalised words that open sentences and name nothing: parity data, in no order.
 OPENERS = frozenset(

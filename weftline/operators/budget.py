@@ -56,7 +56,7 @@ def _untouched(featured: DataFrame) -> DataFrame:
     return featured.select("conv_id", F.col("pos").cast("int").alias("pos"), none.alias("kind"), m.alias("m"), none.alias("out"), F.lit("fits").alias("reason"), none.alias("summary_id"), F.lit(0).cast("long").alias("version"))
 
 
-# --------------------------------------------------------------------------------------------------------------- tightening
+# -- tightening
 
 
 def _rows(units: DataFrame, options: CompressOptions, windows: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -88,8 +88,10 @@ def _applied(rows: DataFrame, candidate: Column, new: Column, order: list[Column
     rows = rows.withColumn("_saved", F.when(F.col("_new").isNotNull(), F.col("_now") - options.token_counter(F.col("_new")).cast("long")))
     before = F.sum(F.coalesce("_saved", F.lit(0))).over(Window.partitionBy("conv_id").orderBy(F.col("_new").isNull(), *order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_hit", F.col("_new").isNotNull() & (F.coalesce(before, F.lit(0)) < F.col("_excess")))
-    name = F.udf(lambda ids: summary_id(ids, options.summary_id_prefix), "string")
-    fresh = F.col("_hit") & F.col("out").isNull()
+    prefix = options.summary_id_prefix
+    name = F.arrow_udf(lambda ids: pa.array([None if x is None else summary_id(x, prefix) for x in ids.to_pylist()], pa.string()), "string")
+    rows = rows.withColumn("_fresh", F.col("_hit") & F.col("out").isNull())
+    fresh = F.col("_fresh")
     return rows.select(
         "conv_id",
         "pos",
@@ -97,7 +99,7 @@ def _applied(rows: DataFrame, candidate: Column, new: Column, order: list[Column
         "m",
         F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("out")).alias("out"),
         F.when(F.col("_hit"), reason).otherwise(F.col("reason")).alias("reason"),
-        F.when(fresh, name(F.transform("m", lambda x: x["key"]))).otherwise(F.col("summary_id")).alias("summary_id"),
+        F.coalesce(name(F.when(fresh, F.transform("m", lambda x: x["key"]))), "summary_id").alias("summary_id"),
         F.lit(options.source_version).cast("long").alias("version"),
     )
 
@@ -153,7 +155,7 @@ def force_converge(units: DataFrame, options: CompressOptions, windows: DataFram
     return _applied(rows, wanted, new, [*first, F.desc(size), F.col("pos")], options, "prose", "force_converge")
 
 
-# -------------------------------------------------------------------------------------------------------------------- fit
+# -- fit
 
 
 def _bisected(featured: DataFrame, options: CompressOptions) -> tuple[DataFrame, DataFrame]:

@@ -150,7 +150,7 @@ def compress(messages: DataFrame, options: CompressOptions = CompressOptions())
     return Compressed(units_of(features(messages, options), options), options, trimmed)
 
 
-# ---------------------------------------------------------------------------------------------------------------- results
+# -- results
 
 
 def _members(field: str) -> Column:

@@ -44,7 +44,7 @@ def exact_duplicates(messages: DataFrame, recency_window: int | Column = 4, pres
     return found.where("duplicate_of <> pos").select("conv_id", "pos", "duplicate_of", "duplicate_of_id", "content_length")
 
 
-# ------------------------------------------------------------------------------------------------------------ near copies
+# -- near copies
 
 
 def _lined(messages: DataFrame, recency_window: int | Column, preserve: tuple[str, ...], min_chars: int) -> DataFrame:

@@ -20,11 +20,11 @@ LIMIT = 500
 CODE_BLOCK = r"```\w*\n(?s:.*?)```"
 # Which words count as verbs is parity data.
 VERBS = (
-    """is are was were has have had do does did will would could should can may might shall must being been get got make made take took give gave use used run call read write
-    send return create handle check provide include require allow enable support prevent need want seem mean show work keep start set find move try tries add help turn play hold
-    bring begin end change follow stop go goes come put tell say think know see look build test deploy monitor configure validate compress compresses store load save publish
-    publishes consume process processes implement define contain maintain manage connect execute receive apply applies ensure track detect resolve replace reduce increase measure
-    analyze convert establish establishes improve generate represent"""
+    """add allow analyze applies apply are been begin being bring build call can change check come compress compresses configure connect consume contain convert could create
+    define deploy detect did do does enable end ensure establish establishes execute find follow gave generate get give go goes got had handle has have help hold
+    implement improve include increase is keep know load look made maintain make manage may mean measure might monitor move must need play prevent process processes
+    provide publish publishes put read receive reduce replace represent require resolve return run save say see seem send set shall should show start stop store support
+    take tell test think took track tries try turn use used validate want was were will work would write"""
 ).split()
 VERB = r"(?i)\<(?:" + "|".join(sorted(w + ("s?" if w[-1] != "s" and len(w) > 2 else "") for w in VERBS)) + r")\>"
 
@@ -67,7 +67,7 @@ def quality(originals: DataFrame, compressed: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------------------------------------------ compressed messages
+# -- compressed messages
 
 
 def paired(messages: DataFrame, store: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def compressed_quality(messages: DataFrame, store: DataFrame) -> DataFrame:
     ).join(score, "conv_id", "left")
 
 
-# ----------------------------------------------------------------------------------------------------- probes and tradeoffs
+# -- probes and tradeoffs
 
 
 def probes(messages: DataFrame, wanted: Mapping[str, Callable[[Column], Column]]) -> DataFrame:

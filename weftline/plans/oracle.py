@@ -33,7 +33,7 @@ i AS (SELECT q.conv_id, q.a, q.b, sum(least(p.n, r.n)) AS common FROM q JOIN w p
 pairs AS (SELECT i.conv_id, i.a, i.b, common::DOUBLE / (len(x.l) + len(y.l) - common) AS s FROM i JOIN f x ON x.conv_id = i.conv_id AND x.pos = i.a JOIN f y ON y.conv_id = i.conv_id AND y.pos = i.b
   WHERE common::DOUBLE / (len(x.l) + len(y.l) - common) >= 0.85 AND least(x.size, y.size) >= greatest(x.size, y.size) * 0.7)"""
 
-# ------------------------------------------------------------------------------------------------------------ classification
+# -- classification
 
 
 def _q(pattern: str) -> str:
@@ -80,7 +80,7 @@ def _tests() -> dict[str, str]:
         "code_fence": _has(r"(?ms)^ {0,3}```\w*\n.*?\n\s*```"),
         "indented_code": _has(r"(?m)^(?:\t|    )[^\n]+\n(?:\t|    )[^\n]"),
         "latex_math": _has(r"\$[^$\n]+\$|(?s:\$\$.+?\$\$)"),
-        "unicode_math": _has(r"[∀∃∈∉⊆⊇∪∩∧∨¬→↔∑∏∫√∞≈≠≤≥±×÷]"),
+        "unicode_math": _has(r"[¬±×÷→↔∀∃∈∉∏∑√∞∧∨∩∪∫≈≠≤≥⊆⊇]"),
         "json_structure": _has(r'^\s*(?:\[\s*[0-9"\[{-]|\{\s*")'),
         "yaml_structure": _has(r"(?m)^[\w-]+:\s+[^\n]+\n[\w-]+:\s+[^\n]"),
         "verse_pattern": _has(r"\n[A-Z][^\n.!?]*\n[A-Z][^\n.!?]*\n[A-Z][^\n.!?]*(?:\n|\z)"),
@@ -127,15 +127,15 @@ r AS (SELECT *, CASE WHEN role = 'system' THEN 'preserved_role' WHEN pos >= n -
   WHEN hard <> '' THEN 'hard_t0:' || hard WHEN regexp_matches(x, '^\\s*[{{\\[]') AND json_valid(x) THEN 'json_structure' ELSE 'compressible_prose' END AS reason FROM d)
 SELECT conv_id, pos, reason, duplicate_of_id, reason NOT IN ('exact_duplicate', 'compressible_prose') AS preserved FROM r"""
 
-# ------------------------------------------------------------------------------------------------------------ names and words
+# -- names and words
 
 _CAMEL, _PASCAL, _SNAKE = r"\b[a-z]+(?:[A-Z][a-z]+)+\b", r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:_[a-z]+)+\b"
 _MUTE = r"(?i)\b[bcdfghjklmnpqrstvwxz]{3,}\b"
 _COUNTED = r"(?i)\b\d+(?:\.\d+)?\s*(?:seconds?|minutes?|hours?|days?|ms|bytes?|[KMGT]B|retries?|attempts?|workers?|threads?|nodes?|replicas?|instances?|users?|requests?|errors?|percent|%)\b"
 _STARTS = (
-    "This,That,These,Those,The,He,She,It,We,They,You,My,Your,His,Her,Its,Our,When,Where,What,Which,Who,Why,How,Here,There,Then,Now,If,Or,And,But,So,In,On,At,By,To,For,From,With,As,An,All,Any,Each,"
-    "Every,Many,Most,Much,Some,No,Not,Only,Just,Even,Also,Still,Yet,Yes,Sure,Well,Great,Thanks,Note,See,Let,First,Second,Third,Next,Last,Finally,However,Because,Although,While,Until,Unless,Since,Once,"
-    "Before,After,About,Between,Into,Over,Under"
+    "An,As,At,By,He,If,In,It,My,No,On,Or,So,To,We,All,And,Any,But,For,Her,His,How,Its,Let,Not,Now,Our,See,"
+    "She,The,Who,Why,Yes,Yet,You,Also,Each,Even,From,Here,Into,Just,Last,Many,Most,Much,Next,Note,Once,Only,Over,Some,Sure,That,Then,They,This,"
+    "Well,What,When,With,Your,About,After,Every,First,Great,Since,Still,There,These,Third,Those,Under,Until,Where,Which,While,Before,Second,Thanks,Unless,Because,Between,Finally,However,Although"
 )
 
 
@@ -176,11 +176,11 @@ o AS (SELECT i.conv_id, i.pos, i.later, l.id AS later_id, l.signal, round(2 * co
 best AS (SELECT * FROM o WHERE overlap >= CASE WHEN crossed THEN 0.225 ELSE 0.15 END QUALIFY row_number() OVER (PARTITION BY conv_id, later ORDER BY overlap DESC, pos DESC) = 1)
 SELECT conv_id, pos, later AS superseded_by, later_id AS superseded_by_id, round(overlap, 6) AS overlap, signal FROM best QUALIFY row_number() OVER (PARTITION BY conv_id, pos ORDER BY later) = 1"""
 
-# ------------------------------------------------------------------------------------------------------------------ sentences
+# -- sentences
 
 _SHARP = r"(?i)\b(?:must|never|always|notably|specifically|essential|critical|crucial|significant|important(?:ly)|however|requires|required|require|in particular|key point|note that)\b"
 _ARGUES = r"(?i)\b(?:thus|hence|therefore|accordingly|consequently|as a result|given that|in conclusion|it follows that|this means that|this implies that|this proves that|we can infer|we can deduce|we can conclude)\b"
-_EMPTY = r"(?i)^(?:great|sure|okay|ok|thanks|thank you|got it|right|yes|no|alright|absolutely|exactly|indeed|cool|nice|perfect|wonderful|awesome|fantastic|sounds good|makes sense|i see|i understand|understood|noted|certainly|of course|no problem|no worries|will do|let me|i'll|i can|i would|well|so|now)[\s?!.,]"
+_EMPTY = r"(?i)^(?:i understand|makes sense|sounds good|absolutely|no problem|no worries|understood|certainly|fantastic|of course|thank you|wonderful|alright|awesome|exactly|i would|perfect|will do|got it|indeed|let me|thanks|great|i can|i see|noted|right|cool|i'll|nice|okay|sure|well|now|yes|no|ok|so)[\s?!.,]"
 
 
 def _score(s: str) -> str:
@@ -202,7 +202,7 @@ def _budget(least: int, most: int, share: str) -> str:
     return f"CAST(greatest({least}, least(floor(n * {share}::DOUBLE + 0.5), {top})) AS BIGINT)"
 
 
-# -------------------------------------------------------------------------------------------------------------------- quality
+# -- quality
 
 _NAMED = f"named AS (SELECT conv_id, pos, id, unnest({_entities('x')}) AS entity FROM c)"
 _ELEMENTS = r"""floor(len(regexp_extract_all({0}, '(?m)^ {{0,3}}```')) / 2.0 + len(regexp_extract_all({0}, '(?m)^\s*[{{\[]\s*$')) + CASE WHEN len(regexp_extract_all({0}, '(?m)^\|.+\|$')) >= 2 THEN 1 ELSE 0 END)"""
@@ -213,7 +213,7 @@ shape AS (SELECT conv_id, sum({_ELEMENTS.format('x')}) AS a, sum(CASE WHEN pos %
 p AS (SELECT shape.conv_id, coalesce(e, 1) AS e, CASE WHEN a > 0 THEN least(b / a, 1) ELSE 1 END AS s, coalesce(r, 1) AS r FROM shape LEFT JOIN shares USING (conv_id))
 SELECT conv_id, floor(e * 1000 + 0.5) / 1000 AS entity_retention, floor(s * 1000 + 0.5) / 1000 AS structural_integrity, floor(r * 1000 + 0.5) / 1000 AS reference_coherence,
   floor(least(e * 0.4::DOUBLE + s * 0.4::DOUBLE + r * 0.2::DOUBLE, 1) * 1000 + 0.5) / 1000 AS quality_score FROM p"""
-_PLAIN = "The,This,That,When,Where,What,How,Here,There,But,And,If,It,In,On,At,To,For,With,From,As,By,An"
+_PLAIN = "An,And,As,At,But,By,For,From,Here,How,If,In,It,On,That,The,There,This,To,What,When,Where,With"
 _NOUNS = rf"[y for y in {_all(r'\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')} if NOT list_contains({_list(_PLAIN)}, regexp_extract(y, '^[A-Za-z]+'))]"
 _MARKS = rf"[{_TRIM.format('y')} for y in flatten([{_all(r'(?m)^ {0,3}```\w*$')}, {_all(r'(?m)^[ \t]*[-•*]\s+[^\n]+$')}, {_all(r'(?m)^[ \t]*\d+[.)]\s+[^\n]+$')}])]"
 _RETENTION = f"""WITH {_S}, j AS (SELECT conv_id, string_agg(x, chr(10) ORDER BY pos) AS x, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (pos % 2 = 0), '') AS b FROM c GROUP BY ALL),

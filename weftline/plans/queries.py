@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from weftline.operators.flow import flow_chains
 from weftline.operators.options import CompressOptions
 from weftline.operators.prepass import tool_prepass
 from weftline.operators.restore import restore, restored
-from weftline.runtime import materialize, scratch
+from weftline.runtime import materialize, scratch, ship
 from weftline.sources.messages import from_conversations, from_documents, renumbered
 from weftline.sources.store import load, publish
 
@@ -33,10 +34,12 @@ NO_CAP = 2**31 - 1
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -61,7 +64,7 @@ def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripted(_turns(spark, sf_dir))
 
 
-# --------------------------------------------------------------------------------------------------------- rows by themselves
+# -- rows by themselves
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +106,11 @@ def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pyarrow as pa
-
     score = F.arrow_udf(lambda t: pa.array([K.best_sentence_score(x or "") for x in t.to_pylist()], pa.int64()), "long")
     return _script(spark, sf_dir).select("conv_id", "pos", score("content").alias("score"))
 
 
 def summary_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pyarrow as pa
-
     def depth(name: str):
         return F.arrow_udf(lambda n: pa.array([K.budget(x, None, name) for x in n.to_pylist()], pa.int64()), "long")
 
@@ -129,7 +128,7 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", djb2(F.col("id")).alias("id_hash"), djb2(F.col("content"), prefixed=True).alias("content_hash"))
 
 
-# ----------------------------------------------------------------------------------------------------- messages among others
+# -- messages among others
 
 
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +182,7 @@ def trimmed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_prepass(whole(s))[0].select("conv_id", "pos", "id", "role", "content")
 
 
-# ------------------------------------------------------------------------------------------------------------- compression
+# -- compression
 
 
 def compressed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh one only where that is unset and all runs in one process (tests).
+
+    On a cluster a folder of the driver's machine would be read by executors that don't have it, so nothing is made up there.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
         sc.setCheckpointDir(named)
         atexit.register(shutil.rmtree, local_path(named), ignore_errors=True)
