@@ -137,7 +137,10 @@ def test_flow_chains(spark):
     m = conversation(spark, contents, roles)
     done = X.compress(m, CompressOptions(recency_window=0, conversation_flow=True))
     out = rows(done.messages)
-    assert [r["reason"] for r in out] == ["flow:qa", "flow:request_action", "flow:acknowledgment"] and [r["ids"] for r in out] == [["m0", "m1", "m2"], ["m3", "m4"], ["m5", "m6"]]
+    # The last one confirms the request, over a message that isn't part of the chain; order comes back all the same.
+    assert [r["reason"] for r in out] == ["flow:qa", "flow:request_action", "hard_t0:base64_content"] and [r["ids"] for r in out] == [["m0", "m1", "m2"], ["m3", "m4", "m6"], ["m5"]]
+    m2 = conversation(spark, ["y" * 230, "ok thanks, good", "z"], ["user", "assistant", "user"])
+    assert rows(X.compress(m2, CompressOptions(recency_window=1, conversation_flow=True)).messages)[0]["reason"] == "flow:acknowledgment"
     assert out[0]["content"].startswith("[summary: Q: How does the cache") and out[0]["content"].endswith("(confirmed) (3 messages, qa)]")
     assert same_after_restore(spark, m, done)
 

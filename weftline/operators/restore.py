@@ -25,19 +25,25 @@ class Restored:
     passed: int
 
 
-def _once(messages: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with their originals in their place, ids not found). ``messages`` has ``path``, by which it is ordered."""
-    ids = F.col("original.ids")
-    made = F.coalesce(F.size(ids), F.lit(0)) > 0
-    wanted = messages.where(made).select("conv_id", "path", F.posexplode("original.ids").alias("k", "key"))
+def _once(messages: DataFrame, store: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(messages with their originals in their place, ids not found). ``messages`` has ``path``, by which it is ordered.
+
+    Originals have the positions that the store knows, so that those of a chain with others in between come back among them.
+    """
+    made = F.coalesce(F.size(F.col("original.ids")), F.lit(0)) > 0
+    wanted = messages.where(made).select("conv_id", F.col("path").alias("parent"), F.posexplode("original.ids").alias("k", "key"))
     known_as = F.col("key" if "key" in store.columns else "id")
-    kept = store.select("conv_id", known_as.alias("key"), F.struct("id", "role", "content", "tool_calls", "original").alias("found"))
+    place = F.col("pos").cast("int") if "pos" in store.columns else F.lit(None).cast("int")
+    kept = store.select("conv_id", known_as.alias("key"), F.struct("id", "role", "content", "tool_calls", "original", place.alias("place")).alias("found"))
     looked = wanted.join(kept, ["conv_id", "key"], "left")
-    back = looked.where("found is not null").select("conv_id", F.concat("path", F.array("k")).alias("path"), "found.id", "found.role", "found.content", "found.tool_calls", "found.original", F.lit(True).alias("fresh"))
+    # Positions of the first round are on the axis of the messages; those of later ones refine it.
+    above = F.slice("parent", F.lit(1), F.size("parent") - 1) if depth == 0 else F.col("parent")
+    path = F.concat(above, F.array(F.coalesce("found.place", "k")))
+    back = looked.where("found is not null").select("conv_id", path.alias("path"), "found.id", "found.role", "found.content", "found.tool_calls", "found.original", "parent")
     # A message of which nothing is found stays as it is.
-    some = back.select("conv_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
+    some = back.select("conv_id", F.col("parent").alias("path")).distinct()
     stays = messages.where(~made).unionByName(messages.where(made).join(some, ["conv_id", "path"], "left_anti").select(*messages.columns))
-    return back.unionByName(stays.withColumn("fresh", F.lit(False))), looked.where("found is null").select("conv_id", "path", F.col("key").alias("id"))
+    return back.unionByName(stays.withColumn("parent", F.lit(None).cast("array<int>"))), looked.where("found is null").select("conv_id", F.col("parent").alias("path"), F.col("key").alias("id"))
 
 
 def restore(messages: DataFrame, store: DataFrame, recursive: bool = False) -> Restored:
@@ -54,7 +60,7 @@ def restore(messages: DataFrame, store: DataFrame, recursive: bool = False) -> R
     missing: DataFrame | None = None
     expanded, at = 0, None
     for depth in range(1 + MAX_DEPTH if recursive else 1):
-        done, lost = _once(now, store)
+        done, lost = _once(now, store, depth)
         lost = lost.withColumn("round", F.lit(depth))
         missing = lost if missing is None else missing.unionByName(lost)
         if not recursive:
@@ -68,16 +74,16 @@ def restore(messages: DataFrame, store: DataFrame, recursive: bool = False) -> R
         missing = spark.read.schema(missing.schema).parquet(lost_at)
         if before:
             discard(spark, before)
-        now = done.drop("fresh")
-        fresh = done.where("fresh").agg(F.count("*").alias("n"), F.countDistinct("conv_id", F.slice("path", F.lit(1), F.size("path") - 1)).alias("units"), F.coalesce(F.max(F.size("original.ids") > 0), F.lit(False)).alias("more")).first()
-        expanded += fresh["units"]
-        if not fresh["n"] or not done.where("size(original.ids) > 0").limit(1).count():
+        now = done.drop("parent")
+        units = done.where("parent is not null").agg(F.countDistinct("conv_id", "parent").alias("units")).first()["units"]
+        expanded += units
+        if not units or not done.where("size(original.ids) > 0").limit(1).count():
             break
     if not recursive:
-        counts = now.agg(F.countDistinct(F.when(F.col("fresh"), F.struct("conv_id", F.slice("path", F.lit(1), F.size("path") - 1)))).alias("units"), F.count(F.when(~F.col("fresh"), 1)).alias("passed")).first()
+        counts = now.agg(F.countDistinct("conv_id", "parent").alias("units"), F.count_if(F.col("parent").isNull()).alias("passed")).first()
         expanded, passed = counts["units"], counts["passed"]
     else:
-        passed = done.where(~F.col("fresh")).count()
+        passed = done.where("parent is null").count()
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("path")) - 1
     return Restored(now.select("conv_id", pos.alias("pos"), *COLUMNS[1:]), missing.select("conv_id", "id", "round"), expanded, passed)
 
@@ -87,4 +93,4 @@ def restored(messages: DataFrame, store: DataFrame) -> DataFrame:
     made = F.col("original") if "original" in messages.columns else F.lit(None).cast(ORIGINAL)
     now = messages.select(*COLUMNS[:-1], made.alias("original"), F.array("pos").cast("array<int>").alias("path"))
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("path")) - 1
-    return _once(now, store)[0].select("conv_id", pos.alias("pos"), *COLUMNS[1:])
+    return _once(now, store, 0)[0].select("conv_id", pos.alias("pos"), *COLUMNS[1:])

@@ -18,14 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 #: A join side is hinted as broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT_BYTES = 64 << 20
 
+#: Spark's own bound on the bytes of a batch for Python; it is set only where nobody has set it.
+BATCH_BYTES, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
+    """Send this package to the Python workers once per application, and let it have texts in batches of a bounded size."""
     sc = spark.sparkContext
+    # Rows are counted by default, whatever their length; the kernels cut batches smaller than this anyway.
+    if sc.getConf().get(BATCH_BYTES) is None and spark.conf.get(BATCH_BYTES, None) == SPARKS_OWN:
+        spark.conf.set(BATCH_BYTES, 8 << 20)
     if sc.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="weftline-ship-")  # driver only; Spark copies the file to executors
