@@ -32,22 +32,22 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm import hashstore
-from weftline.llm.batches import map_rows, text_slices
+from weftline.llm import cutting, hashstore
+from weftline.llm.batches import give_back, map_rows, remembered, text_slices, utf8_bytes
+from weftline.llm.cutting import mix
 from weftline.runtime import local_path, materialize, scratch, ship, shuffles_removed
 
+#: What a token is; cutting.runs finds the same.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 START, END = np.uint64(1), np.uint64(2)
 SPREAD = np.uint64(7)
-#: Remembered word hashes of a worker; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 1_000_000
 #: Runs of words that a counting task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 STATS = "w long, followed long, n1 long, n2 long, n3 long, follows long, c1 long, c2 long, c3 long, c4 long"
@@ -74,34 +74,20 @@ class Model:
     unseen: float  # probability of a word that was never counted
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, worked out when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode())
-        if h < 3:
-            h += 3
-        self[word] = h
-        return h
-
-
-_hashes = Hashes()
-
-
-def read(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def read(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(first, ..., last words of all runs of ``order`` words), with (texts,) numbers of runs; a null text has none."""
-    global _hashes
-    if len(_hashes) > REMEMBERED:
-        _hashes = Hashes()
-    get = _hashes.__getitem__
-    rows = [TOKEN.findall(t.lower()) if t else [] for t in texts]
-    sizes = np.fromiter((len(r) + 1 if t is not None else 0 for r, t in zip(rows, texts)), np.int64, len(rows))
+    data, offsets = utf8_bytes(pc.utf8_lower(texts.fill_null("")))
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    low, high, owner = cutting.runs(data, offsets, cutting.word_kinds(), cutting.MARK)
+    words = cutting.keys(data, low, high)
+    words[words < 3] += np.uint64(3)
+    sizes = np.bincount(owner, minlength=len(texts)) + texts.is_valid().to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     last = np.full(total, END, np.uint64)
     inner = np.ones(total, bool)
     inner[ends[sizes > 0] - 1] = False
-    last[inner] = np.fromiter((h for r in rows for h in map(get, r)), np.uint64, total - int((sizes > 0).sum()))
+    last[inner] = words
     place = np.arange(total) - np.repeat(ends - sizes, sizes)
     grams = [last]
     for back in range(1, order):
@@ -111,15 +97,9 @@ def read(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndar
     return grams, sizes
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    upper = _mix(first + (second & SPREAD) * np.uint64(0x9E3779B97F4A7C15))
-    lower = _mix(first * np.uint64(0xD6E8FEB86659FD93) ^ _mix(second))
+    upper = mix(first + (second & SPREAD) * np.uint64(0x9E3779B97F4A7C15))
+    lower = mix(first * np.uint64(0xD6E8FEB86659FD93) ^ mix(second))
     return (upper & np.uint64(0xFFFF000000000000)) | (lower >> np.uint64(16))
 
 
@@ -127,7 +107,7 @@ def context_keys(words: list[np.ndarray]) -> np.ndarray:
     """Keys of contexts of two words or more."""
     h = words[0]
     for k, w in enumerate(words[1:], 2):
-        h = _mix((h + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) ^ _mix(w))
+        h = mix((h + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) ^ mix(w))
     return h
 
 
@@ -136,7 +116,7 @@ def gram_keys(words: list[np.ndarray]) -> np.ndarray:
     if len(words) == 2:
         return pair_keys(*words)
     context = context_keys(words[:-1])
-    lower = _mix(context * np.uint64(0x9E3779B97F4A7C15) ^ _mix(words[-1]))
+    lower = mix(context * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[-1]))
     return (context & np.uint64(0xFFFF000000000000)) | (lower >> np.uint64(16))
 
 
@@ -167,6 +147,7 @@ def _count_rows(bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        remembered("lm-count", lambda: None)
 
         def out() -> Iterator[pa.RecordBatch]:
             key, n, *words = (np.concatenate(x) for x in zip(*held))
@@ -176,7 +157,7 @@ def _count_rows(bits: int, order: int):
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                grams, _ = read(part.column(0).to_pylist(), order)
+                grams, _ = read(part.column(0), order)
                 key, at, n = _summed(gram_keys(grams), None)
                 held.append((key, n.astype(np.int64), *(w[at] for w in grams)))
                 size += len(key)
@@ -185,6 +166,7 @@ def _count_rows(bits: int, order: int):
                     size = 0
         if held:
             yield from out()
+        give_back()
 
     return run
 
@@ -312,7 +294,7 @@ class Scorer:
         self.contexts = [hashstore.Store(folder, "context", model.bits) for folder in model.grams]
         self.words = hashstore.Store(model.words, "key", model.word_bits)
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens, log2 probability) of each text."""
         grams, sizes = read(texts, len(self.grams) + 1)
         out = np.zeros(len(sizes))
@@ -334,15 +316,9 @@ class Scorer:
         return sizes, out
 
 
-_last: tuple[str, Scorer] | None = None
-
-
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer, kept from task to task."""
-    global _last
-    if _last is None or _last[0] != model.words:
-        _last = (model.words, Scorer(model))
-    return _last[1]
+    return remembered(("lm", model.words), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -354,7 +330,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         scorer = scorer_of(model)
 
         def kernel(part: pa.RecordBatch) -> list:
-            sizes, logs = scorer.texts(part.column(1).to_pylist())
+            sizes, logs = scorer.texts(part.column(1))
             none = sizes == 0
             per = np.exp2(-logs / np.maximum(sizes, 1))
             return [part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(logs.round(4), mask=none), pa.array(per.round(4), mask=none)]
