@@ -26,7 +26,7 @@ def edge(spark):
     return spark.createDataFrame(data, DOCS)
 
 
-# ------------------------------------------------------------------------------------------------------------ language
+# -- language
 
 
 def ppm_cost(trees, context_set, text, k):
@@ -91,7 +91,7 @@ def test_language_edges_and_accuracy(spark, edge):
     assert {r["pred_lang"] for r in langid.identify(edge, nothing).collect()} == {"und"}
 
 
-# ------------------------------------------------------------------------------------------------------------ toxicity
+# -- toxicity
 
 
 def brute_kernel(a, b):
@@ -148,7 +148,7 @@ def test_toxicity_on_held_out_sentences(spark, edge):
     assert toxicity.score(edge, empty).where("toxic").count() == 0
 
 
-# ------------------------------------------------------------------------------------------------------------- quality
+# -- quality
 
 
 def python_statistics(text):
@@ -182,7 +182,7 @@ def test_quality_statistics_rules_and_edges(spark, edge):
     assert quality.fit(edge.limit(0), labels) == []
 
 
-# --------------------------------------------------------------------------------------------------------------- pages
+# -- pages
 
 
 def test_rendering():
@@ -206,7 +206,7 @@ def test_pages_edges(spark):
     assert [r["text"] for r in got if r["page_id"] == 1] == [None]
 
 
-# --------------------------------------------------------------------------------------------------------------- chats
+# -- chats
 
 
 def test_chats(spark):
@@ -220,7 +220,7 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-# -------------------------------------------------------------------------------------------------------------- tokens
+# -- tokens
 
 
 def test_tokens_equal_a_public_encoder_and_decode(spark, edge):

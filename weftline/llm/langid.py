@@ -10,8 +10,9 @@ so the sums equal a byte-by-byte pass.
 
 Defined results:
 - null or empty text, or text without any letter: language ``und``, 0 bits, not accepted;
-- a text whose best language needs more than ``max_bits_per_byte`` (8: more than the text as it is): ``und``, not accepted;
-- equal code lengths: the language first in alphabetical order;
+- a text whose best language needs more than ``max_bits_per_byte`` (plain bytes need 8), or is less than ``min_margin`` bits a byte
+  ahead of the second: ``und``, not accepted; so equal code lengths of two languages are ``und`` unless ``min_margin`` is 0, when
+  the language first in alphabetical order is taken;
 - rows with a null id are scored like any other; repeated rows each give a row; an empty table gives no rows;
 - other columns of the input are ignored (``identify``) or passed through unchanged (``accepted``).
 - rows with a null language label don't train; no labelled row at all: every text is ``und``.
@@ -19,6 +20,8 @@ Defined results:
 
 from __future__ import annotations
 
+import gc
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.batches import keep_rows, map_rows, utf8_bytes
+from weftline.llm.batches import give_back, keep_rows, map_rows, remembered, utf8_bytes
 
 ORDER = 4
 STRETCH = 256
@@ -53,7 +56,8 @@ class LangIdParams:
     docs_per_lang: int = 250
     max_contexts: int = 24_000
     min_count: int = 4
-    max_bits_per_byte: float = 8.0
+    max_bits_per_byte: float = 7.5
+    min_margin: float = 0.02
 
 
 @dataclass
@@ -64,6 +68,7 @@ class PpmModel:
     cost: np.ndarray  # (states * symbols, languages) in 1/SCALE bit
     symbols: int
     max_bits_per_byte: float
+    min_margin: float
 
 
 def _counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +146,7 @@ def train(samples: dict[str, list[bytes]], params: LangIdParams = LangIdParams()
     step[:, pad] = 0
     cost[:, pad, :] = 0
     whole = np.floor(cost * SCALE + 0.5).astype(np.int32).reshape(-1, max(1, len(languages)))
-    return PpmModel(languages, classes, (step * symbols).astype(np.int32).reshape(-1), whole, symbols, params.max_bits_per_byte)
+    return PpmModel(languages, classes, (step * symbols).astype(np.int32).reshape(-1), whole, symbols, params.max_bits_per_byte, params.min_margin)
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -184,6 +189,8 @@ def decide(model: PpmModel, array: pa.Array) -> tuple[list, np.ndarray, np.ndarr
     per_byte = ordered[:, 0] / size
     margin = (ordered[:, 1] - ordered[:, 0]) / size if bits.shape[1] > 1 else np.zeros(len(size))
     fine = letter & (lengths > 0) & (per_byte <= model.max_bits_per_byte)
+    if bits.shape[1] > 1:
+        fine &= margin >= model.min_margin
     names = np.array([*model.languages, "und"], dtype=object)[np.where(fine, best, len(model.languages))]
     return names.tolist(), per_byte, margin, fine
 
@@ -208,15 +215,19 @@ def sample(docs: DataFrame, params: LangIdParams) -> dict[str, list[bytes]]:
 
 
 def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> PpmModel:
-    return train(sample(docs, params), params)
+    model = train(sample(docs, params), params)
+    # The trees are large while they are built.
+    gc.collect()
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
     """(doc_id, pred_lang, bits_per_byte, margin, accepted) of every row of ``docs``; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        m = shared.value
+        m = remembered(name, lambda: shared.value)
 
         def kernel(part: pa.RecordBatch) -> list:
             names, bits, margin, fine = decide(m, part.column(1))
@@ -229,10 +240,10 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: PpmModel) -> DataFrame:
     """The rows of ``docs`` whose language is identified, all columns unchanged; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        m = shared.value
+        m = remembered(name, lambda: shared.value)
         return lambda texts: decide(m, texts)[3]
 
     return keep_rows(docs, make)
