@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from weftline.runtime import ship
 
 #: Rows are handed to a kernel in slices of about this many text bytes, whatever Arrow batch they came in.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 #: What this worker remembers from task to task, and whose it is. A worker runs the tasks of all operators in turn, so it
@@ -25,7 +25,7 @@ _held: tuple[Hashable, Any] | None = None
 
 
 def give_back() -> None:
-    """Hand freed memory back to the machine: the Arrow pool and the C allocator keep it otherwise."""
+    """Hand freed memory back to the machine: the Arrow pool and the C allocator keep it otherwise. For workers, and the driver after training."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -42,7 +42,7 @@ BUCKETS = 65_536
 NONE = 2**31 - 1
 LONGEST = 256
 #: Keys of words that a task remembers as seen; beyond it they are forgotten, which costs time only.
-SEEN = 4_000_000
+SEEN = 1_500_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -162,7 +162,7 @@ def merge_ranks(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-# ----------------------------------------------------------------------------------------------------------------- words
+# -- words
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -240,8 +240,10 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch, "text"):
             words = cut_words(part.column(0))[0].dictionary_encode().dictionary
             keys = word_keys(words)
-            fresh = ~np.isin(keys, seen)
-            seen = np.union1d(seen, keys) if len(seen) + len(keys) < SEEN else keys
+            at = np.searchsorted(seen, keys)
+            fresh = seen[np.minimum(at, len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
+            new = np.sort(keys[fresh])
+            seen = np.insert(seen, np.searchsorted(seen, new), new) if len(seen) + len(new) < SEEN else np.sort(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), words.filter(pa.array(fresh))], names=["key", "word"])
     give_back()
 

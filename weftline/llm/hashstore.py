@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.batches import give_back
 from weftline.runtime import local_path, scratch, ship
 
 
@@ -73,6 +74,8 @@ def write(df: DataFrame, name: str, bits: int) -> str:
                 parts.append(batch.slice(low, high - low))
         if parts:
             total += save(number, pa.Table.from_batches(parts))
+        parts = []
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
     spread.mapInArrow(run, "n long").agg(F.sum("n")).collect()

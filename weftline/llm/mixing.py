@@ -11,7 +11,7 @@ shards. A shard takes the next blocks of each source's permutation, which makes
 documents locally. Text moves once, to its shard.
 
 Only counts by (source, block) come to the driver, as arrays. There are ``blocks_per_shard`` blocks for each shard, and a
-shard holds about ``shard_bytes`` of text: with 100 TB that is some 13 million counts of 16 bytes.
+shard holds about ``shard_bytes`` of text: with 100 TB that is some 26 million counts of 16 bytes.
 
 Defined results:
 - a null source is a source of its own, named ``unknown`` for weights; a null text is a document like any other, and so are
@@ -47,7 +47,7 @@ class MixParams:
     other: float = 0.0
     keep: float | None = None
     temperature: float = 0.7
-    shard_bytes: int = 64 << 20
+    shard_bytes: int = 32 << 20
     blocks_per_shard: int = 8
     seed: int = 20_240_601
 

@@ -63,7 +63,7 @@ class Rule:
         return " and ".join(f"{f} {'>=' if up else '<='} {t:.6g}" for f, up, t in self.conditions)
 
 
-# ------------------------------------------------------------------------------------------------------------ statistics
+# -- statistics
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -102,7 +102,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     return done.select(*docs.columns, "_s")
 
 
-# -------------------------------------------------------------------------------------------------------------- learning
+# -- learning
 
 
 def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     return learn(*labelled(docs, labels, params), params)
 
 
-# --------------------------------------------------------------------------------------------------------------- scoring
+# -- scoring
 
 
 def decision(rules: list[Rule], stats: str = "_s") -> Column:

@@ -21,6 +21,7 @@ Defined results:
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections import Counter
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import cutting
-from weftline.llm.batches import keep_rows, map_rows, remembered, utf8_bytes
+from weftline.llm.batches import give_back, keep_rows, map_rows, remembered, utf8_bytes
 from weftline.runtime import BROADCAST_LIMIT_BYTES
 
 LENGTH = 4
@@ -79,7 +80,7 @@ class ToxicityModel:
     bias: float
 
 
-# ---------------------------------------------------------------------------------------------------------------- kernel
+# -- kernel
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
     return (raw / np.sqrt(np.maximum(own[:, None] * theirs[None, :], 1e-20))) ** 2
 
 
-# -------------------------------------------------------------------------------------------------------------- training
+# -- training
 
 
 def word_in(token: str) -> str:
@@ -330,7 +331,11 @@ def train(rows: list[tuple[str, int]], params: ToxicityParams = ToxicityParams()
 
 def _cut(model: ToxicityModel, rows: list[tuple[str, int]]) -> float:
     """The document score from which held-out documents count as toxic: most toxic ones caught, a clean one lost weighing as 20."""
-    got = Scorer(model).texts([t for t, _ in rows])[0]
+    scorer, texts = Scorer(model), [t for t, _ in rows]
+    # A slice at a time, so that the driver needs little room.
+    ends = np.cumsum([len(t) for t in texts]) // (1 << 19)
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    got = np.concatenate([scorer.texts(texts[a:b])[0] for a, b in zip(cuts, cuts[1:])])
     toxic = np.sort(got[[bool(y) for _, y in rows]])
     fine = np.sort(got[[not y for _, y in rows]])
     edges = np.unique(np.concatenate([got, [0.0, 1.0]]))
@@ -358,10 +363,13 @@ def labelled(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> list
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    return train(labelled(docs, labels, params), params)
+    model = train(labelled(docs, labels, params), params)
+    gc.collect()
+    give_back()
+    return model
 
 
-# --------------------------------------------------------------------------------------------------------------- scoring
+# -- scoring
 
 
 @cache
