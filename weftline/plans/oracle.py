@@ -222,7 +222,16 @@ SELECT conv_id, {", ".join(f"CASE WHEN len({c}) > 0 THEN round(len([y for y in {
 
 _FOLD = "list_reduce([CAST(ord(y) AS BIGINT) for y in string_split({0}, '')], lambda h, u: (h * 33 + u) & 4294967295, CAST(5381 AS BIGINT))"
 
+_TOOLS = rf"""WITH {_S}, d AS (SELECT conv_id, pos, id, CASE WHEN pos % 4 = 3 THEN 'tool' ELSE role END AS role, content, x FROM c),
+a AS (SELECT conv_id, pos, x, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM d WHERE role = 'assistant' AND content IS NOT NULL),
+u AS (SELECT *, (SELECT count(*) FROM a WHERE a.conv_id = d.conv_id AND a.pos < d.pos) AS k FROM d WHERE role = 'tool'),
+h AS (SELECT u.conv_id, u.pos, string_agg(a.x || chr(10), '' ORDER BY a.k DESC) AS said FROM u JOIN a ON a.conv_id = u.conv_id AND a.k BETWEEN u.k - 2 AND u.k GROUP BY ALL),
+b AS (SELECT d.*, said, [{{'b': z, 't': {_TRIM.format('z')}}} for z in regexp_split_to_array(x, '\n\n+')] AS blocks FROM d LEFT JOIN h ON h.conv_id = d.conv_id AND h.pos = d.pos),
+e AS (SELECT *, [CASE WHEN length(z.t) >= 200 AND contains(said, substr(z.t, 1, 120)) THEN '[content from preceding turn omitted (' || CAST(length(z.t) AS VARCHAR) || ' chars)]' ELSE z.b END for z in blocks] AS cut FROM b)
+SELECT conv_id, pos, id, role, CASE WHEN said IS NOT NULL AND length(said) >= 200 AND length(x) >= 200 AND cut <> [z.b for z in blocks] THEN array_to_string(cut, chr(10) || chr(10)) ELSE content END AS content FROM e"""
+
 ORACLE_SQL: dict[str, str] = {
+    "tool_prepass": _TOOLS,
     "text_hashes": f"WITH {_T} SELECT id, {_FOLD.format('id')} AS id_hash, {_FOLD.format("(CAST(length(content) AS VARCHAR) || ':' || content)")} AS content_hash FROM t",
     "messages": f"WITH {_T} SELECT conv_id, pos, id, role, content FROM t",
     "round_trip": f"WITH {_S} SELECT conv_id, pos, id, role, content FROM c",
