@@ -36,8 +36,8 @@ def _once(messages: DataFrame, store: DataFrame, depth: int) -> tuple[DataFrame,
     place = F.col("pos").cast("int") if "pos" in store.columns else F.lit(None).cast("int")
     kept = store.select("conv_id", known_as.alias("key"), F.struct("id", "role", "content", "tool_calls", "original", place.alias("place")).alias("found"))
     looked = wanted.join(kept, ["conv_id", "key"], "left")
-    # Positions of the first round are on the axis of the messages; those of later ones refine it.
-    above = F.slice("parent", F.lit(1), F.size("parent") - 1) if depth == 0 else F.col("parent")
+    # Positions of the first round are on the axis of the messages, but not those of earlier publications, which have none.
+    above = F.when(F.col("found.place").isNotNull(), F.slice("parent", F.lit(1), F.size("parent") - 1)).otherwise(F.col("parent")) if depth == 0 else F.col("parent")
     path = F.concat(above, F.array(F.coalesce("found.place", "k")))
     back = looked.where("found is not null").select("conv_id", path.alias("path"), "found.id", "found.role", "found.content", "found.tool_calls", "found.original", "parent")
     # A message of which nothing is found stays as it is.

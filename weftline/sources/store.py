@@ -48,7 +48,8 @@ def publish(done: Compressed, path: str, keep_history: bool = True) -> str:
     kept = verbatim(units).select(*HISTORY)
     if keep_history and before:
         older = spark.read.parquet(f"{before}/verbatim").join(kept.select("conv_id", "key"), ["conv_id", "key"], "left_anti")
-        kept = kept.unionByName(older.select(*HISTORY))
+        # Their positions counted the messages of their own time.
+        kept = kept.unionByName(older.withColumn("pos", F.lit(None).cast(dict(older.dtypes)["pos"])).select(*HISTORY))
     kept.write.parquet(f"{folder}/verbatim")
     files, target = _files(spark, f"{path}/{CURRENT}")
     _, fresh = _files(spark, f"{path}/.{CURRENT}-{name}")
