@@ -84,6 +84,32 @@ def test_simhash_recall_by_distance(spark):
     assert recall[15] == 1 and recall[20] >= 0.99 and recall[24] >= 0.99 and recall[28] >= 0.97 and recall[32] >= 0.9, recall
 
 
+@pytest.mark.parametrize("bucket_rows", [1 << 14, 64])
+def test_simhash_loses_no_pair_within_the_limit(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket_rows, raising=False)
+    rng = np.random.default_rng(3)
+    limit, signs = simhash.SimHashParams().max_distance, []
+    for d in (1, 16, 24, 31, limit, limit + 1):
+        for k in range(120):
+            bits = rng.integers(0, 2, simhash.BITS, dtype=np.uint8)
+            other = bits.copy()
+            # At random places, and spread evenly so that no segment is spared.
+            other[rng.choice(simhash.BITS, d, replace=False) if k % 2 else (np.arange(d) * simhash.BITS // d + k) % simhash.BITS] ^= 1
+            signs += [bits, other]
+    # A large cluster, whose members needn't all be near each other, and equal parts that make buckets hot.
+    cluster = np.repeat(rng.integers(0, 2, (1, simhash.BITS), dtype=np.uint8), 150, axis=0)
+    for row in cluster:
+        row[rng.choice(simhash.BITS, 18, replace=False)] ^= 1
+    hot = rng.integers(0, 2, (200, simhash.BITS), dtype=np.uint8)
+    hot[:, :64] = 1
+    lanes = np.packbits(np.concatenate([np.stack(signs), cluster, hot]), axis=1).view(">i8").astype(np.int64)
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(lanes.tolist())], "node long, " + ", ".join(f"{n} long" for n in simhash.LANE_NAMES))
+    got = [(r["a"], r["b"]) for r in simhash.near_pairs(nodes, simhash.SimHashParams()).collect()]
+    want = [(a, b) for a in range(len(lanes)) for b in (a + 1 + np.flatnonzero(simhash.distances(lanes[a + 1 :], lanes[a]) <= limit)).tolist()]
+    assert set(got) <= set(want) and len(got) == len(set(got))
+    assert roots(range(len(lanes)), got) == roots(range(len(lanes)), want)
+
+
 def test_repeated_ids_keep_one_row(spark):
     docs = documents(spark, ["one two three four"]).union(documents(spark, ["one two three four"]))
     assert simhash.deduplicate(docs).count() == 1

@@ -1,21 +1,18 @@
-"""Operator 1: near-duplicate documents by SimHash with deletion-variant signatures.
+"""Operator 1: near-duplicate documents by SimHash with signature variants.
 
 A document's signature has ``BITS`` bits: each is the sign of a sum over its distinct words, weighted by the root of
 their counts. Two documents are near copies when their signatures differ in at most ``max_distance`` bits. A signature is
-cut into ``SEGMENTS`` segments; with so few of them, two signatures within ``2 * SEGMENTS - 1`` bits always have a segment that
-differs by at most one bit, so that deleting that one bit leaves the same rest. Every segment is therefore indexed once for
-each deleted bit; rows with equal (segment, deleted bit, rest) are joined and the whole signatures are verified. Pairs up to
-``2 * SEGMENTS - 1`` bits apart are found for certain. For more distant ones the whole is done again for ``ORDERS - 1`` further
-fixed orders of the bits, cut into segments the same way. By exact count a pair whose differing bits lie at random then
-meets with chance 1.0000 at 20 bits, 0.9999 at 24, 0.9946 at 28 and 0.9494 at 32 (in one order: 0.97, 0.84, 0.65, 0.45).
+cut into so many segments that two signatures within ``max_distance`` always have a segment that differs by at most
+``RADIUS`` bits: 11 for 32 bits. For each segment the signatures are kept sorted by it, in buckets by its upper bits; every
+variant of a segment with up to ``RADIUS`` changed bits is looked up there, and the whole signatures are verified. Every
+pair within ``max_distance`` meets, whatever bits it differs in.
 
 Groups are the connected components over verified pairs; ``keep_id`` is the smallest id of the group.
 
-Orders are indexed one after another, and the files of one are removed before the next, so that they add no disk.
-
-Work is kept in proportion: equal signatures are one node from the start; an index row is two longs; only rows whose key
-occurs again carry on; inside a key's rows, a spanning forest of the verified pairs is kept instead of all pairs, which
-leaves the components the same. Nothing is capped.
+Work is kept in proportion: equal signatures are one node from the start; an index row is a node with its signature, once
+a segment; a segment's pair is looked at once; between two buckets, a spanning forest of the verified pairs is kept instead
+of all pairs, which leaves the components the same. Nothing is capped. Workers map the buckets into memory, so the shared
+folder must be a mounted one.
 
 Defined results:
 - null, empty and wordless texts have no signature: each such document is its own group;
@@ -26,9 +23,10 @@ Defined results:
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm import cutting
+from weftline.llm import cutting, hashstore
 from weftline.llm.batches import give_back, map_rows, remembered, utf8_bytes
-from weftline.runtime import BROADCAST_LIMIT_BYTES, discard, materialize, scratch, ship, shuffles_removed
+from weftline.runtime import BROADCAST_LIMIT_BYTES, discard, local_path, materialize, scratch, ship, shuffles_removed
 
 BITS = 256
 LANES = BITS // 64
+#: Segments of ``deletion_keys``, which guarantee pairs up to 15 bits; ``near_pairs`` cuts signatures by ``cuts``.
 SEGMENTS = 8
 WIDTH = BITS // SEGMENTS
-#: Orders of the bits that are indexed; the first is the signature's own.
-ORDERS = 5
+#: Bits by which a segment's variants differ from it.
+RADIUS = 2
+#: Signatures of a bucket, and pairs verified at once.
+BUCKET_ROWS, BLOCK = 1 << 14, 1 << 18
 
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words", T.IntegerType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(LANES)]])
 LANE_NAMES = [f"s{i}" for i in range(LANES)]
@@ -104,18 +105,6 @@ def signatures(docs: DataFrame) -> DataFrame:
 # -- index
 
 
-def bit_orders() -> list[np.ndarray]:
-    """ORDERS fixed orders of a signature's bits."""
-    rng = np.random.default_rng(20_240_601)
-    return [np.arange(BITS), *(rng.permutation(BITS) for _ in range(ORDERS - 1))]
-
-
-def reorder(lanes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Signatures with their bits in another order."""
-    bits = np.unpackbits(np.ascontiguousarray(lanes.astype(">i8")).view(np.uint8).reshape(len(lanes), BITS // 8), axis=1)
-    return np.ascontiguousarray(np.packbits(np.take(bits, order, axis=1), axis=1)).view(">i8").astype(np.int64).reshape(len(lanes), LANES)
-
-
 def deletion_keys(lanes: np.ndarray) -> np.ndarray:
     """(signatures, BITS) uint64 keys: each bit of a signature deleted from its segment, marked with the bit's number."""
     u = lanes.astype(np.int64).view(np.uint64).reshape(len(lanes), LANES)
@@ -138,15 +127,74 @@ def distances(lanes: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(lanes.view(np.uint64) ^ other.view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _index_rows(order: np.ndarray):
+@dataclass(frozen=True)
+class Index:
+    """How signatures are cut into keys, one of each segment, and keys into buckets by their ``upper`` bits."""
+
+    starts: list[int]  # first bits of the segments
+    width: int  # bits of a key
+    upper: int
+    folder: str = ""
+
+    @property
+    def lower(self) -> int:
+        return self.width - self.upper
+
+    def keys(self, lanes: np.ndarray, segment: int) -> np.ndarray:
+        """The segment's keys of (signatures, LANES) lanes."""
+        u = lanes.view(np.uint64)
+        lane, at = divmod(self.starts[segment], 64)
+        key = u[:, lane] << np.uint64(at)
+        if at + self.width > 64:
+            key |= u[:, lane + 1] >> np.uint64(64 - at)
+        return (key >> np.uint64(64 - self.width)).astype(np.int64)
+
+    def path(self, segment: int, bucket: int) -> str:
+        return os.path.join(self.folder, f"rows-{segment}-{bucket}.npy")
+
+
+def cuts(n: int, max_distance: int) -> Index:
+    """The index for ``n`` signatures. If every segment differed by more than RADIUS bits, the signatures would by more than ``max_distance``."""
+    segments = max_distance // (RADIUS + 1) + 1
+    if segments > BITS:
+        raise ValueError(f"max_distance must be less than {BITS * (RADIUS + 1)}")
+    starts = [BITS * i // segments for i in range(segments)]
+    # A part of a segment differs by no more bits than the segment does; few signatures need only short keys.
+    width = min(BITS // segments, 24, n.bit_length() + 6)
+    return Index(starts, width, min(width - 1, max(0, (-(-n // BUCKET_ROWS) - 1).bit_length())))
+
+
+def _index_rows(index: Index):
+    """Each signature once a segment, with its bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                lanes = np.stack([part.column(1 + i).to_numpy() for i in range(LANES)], axis=1)
-                keys = deletion_keys(reorder(lanes, order)).reshape(-1).view(np.int64)
-                nodes = np.repeat(part.column(0).to_numpy(), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], names=["key", "node"])
+            lanes = np.stack([batch.column(1 + i).to_numpy() for i in range(LANES)], axis=1)
+            for segment in range(len(index.starts)):
+                bucket = (segment << index.upper) + (index.keys(lanes, segment) >> index.lower)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", "node", *LANE_NAMES])
+        give_back()
+
+    return run
+
+
+def _save_buckets(index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write the buckets of this partition, each sorted by its segment's keys; a bucket's rows are all in one partition."""
+        parts = [np.stack([column.to_numpy() for column in batch.columns], axis=1) for batch in batches]
+        if not parts:
+            return
+        rows = np.concatenate(parts)
+        del parts
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        edges = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]])).tolist()
+        for low, high in zip(edges, edges[1:]):
+            segment, bucket = divmod(int(rows[low, 0]), 1 << index.upper)
+            part = rows[low:high, 1:]
+            order = np.lexsort((*part.T, index.keys(part[:, 1:], segment)))
+            hashstore.put(index.folder, f"rows-{segment}-{bucket}", part[order])
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+        del rows, part
         give_back()
 
     return run
@@ -174,82 +222,130 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _forest(lanes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest, as row numbers, of the pairs within ``limit`` bits."""
-    n = len(lanes)
-    unseen = np.arange(n)
-    edges = []
-    while len(unseen):
-        frontier, unseen = [int(unseen[0])], unseen[1:]
-        while frontier and len(unseen):
-            a = frontier.pop()
-            near = distances(lanes[unseen], lanes[a]) <= limit
-            for b in unseen[near].tolist():
-                edges.append((a, b))
-                frontier.append(b)
-            unseen = unseen[~near]
-    return edges
-
-
-def _verify(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, node, lanes) sorted by key; a key's rows may run over several batches."""
-        rest: pa.Table | None = None
-        found: set[tuple[int, int]] = set()
-
-        def solve(table: pa.Table) -> None:
-            key, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-            lanes = np.stack([table.column(2 + i).to_numpy() for i in range(LANES)], axis=1)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            two = starts[sizes == 2]
-            near = two[distances(lanes[two], lanes[two + 1]) <= limit]
-            found.update(zip(np.minimum(node[near], node[near + 1]).tolist(), np.maximum(node[near], node[near + 1]).tolist()))
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                for a, b in _forest(lanes[s : s + n], limit):
-                    x, y = int(node[s + a]), int(node[s + b])
-                    found.add((min(x, y), max(x, y)))
-
-        def out() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+class _Forest:
+    """A spanning forest of pairs of ``n`` rows, grown by blocks of pairs."""
 
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def added(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that join two trees."""
+        out = [(a[:0], b[:0])]
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return tuple(np.concatenate(c) for c in zip(*out))
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+            self.root[high[first]] = low[first]
+            out.append((a[first], b[first]))
+            while ((up := self.root[self.root]) != self.root).any():
+                self.root = up
+
+
+def _candidates(mine: np.ndarray, starts: np.ndarray, bits: int, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, in blocks, whose keys of ``bits`` bits differ in at most ``radius`` of them.
+
+    ``mine``: the sorted keys of one bucket; ``starts``: where each key's rows start in the other one; ``same``: both are one.
+    """
+    rows = np.arange(len(mine))
+    for size in range(min(radius, bits) + 1):
+        for changed in combinations(range(bits), size):
+            other = mine ^ sum(1 << bit for bit in changed)
+            low, high = starts[other], starts[other + 1]
+            if same:
+                low = np.maximum(low, rows + 1)
+            some = np.flatnonzero(high > low)
+            if not len(some):
+                continue
+            low, count = low[some], (high[some] - low[some])
+            ends = np.cumsum(count)
+            done = 0
+            while done < len(some):
+                before = int(ends[done - 1]) if done else 0
+                stop = max(done + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+                n = count[done:stop]
+                shift = low[done:stop] - (ends[done:stop] - n - before)
+                yield np.repeat(some[done:stop], n), np.arange(int(ends[stop - 1]) - before) + np.repeat(shift, n)
+                done = stop
+
+
+def _near_rows(index: Index, limit: int):
+    def load(segment: int, bucket: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray] | None:
+        """(nodes, lanes with those of the segment last, lower bits of the keys) of a bucket."""
+        if not os.path.exists(at := index.path(segment, bucket)):
+            return None
+        rows = np.load(at, mmap_mode="r")
+        first = index.starts[segment] // 64 + 2
+        lanes = [np.ascontiguousarray(rows[:, 1 + (first + i) % LANES]).view(np.uint64) for i in range(LANES)]
+        return rows[:, 0], lanes, index.keys(rows[:, 1:], segment) & ((1 << index.lower) - 1)
+
+    def verified(a: np.ndarray, b: np.ndarray, mine: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows within ``limit``; half of the lanes tells most of them apart."""
+        half = LANES // 2
+        apart = sum(np.bitwise_count(x[a] ^ y[b]) for x, y in zip(mine[:half], others[:half]))
+        near = np.flatnonzero(apart <= limit)
+        a, b, apart = a[near], b[near], apart[near].astype(np.int64)
+        near = apart + sum(np.bitwise_count(x[a] ^ y[b]).astype(np.int64) for x, y in zip(mine[half:], others[half:])) <= limit
+        return a[near], b[near]
+
+    def between(one: tuple, other: tuple, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (node, lanes, keys), (nodes, others, their) = one, other
+        shift = 0 if same else len(node)
+        forest = _Forest(shift + len(nodes))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(their, minlength=1 << index.lower))])
+        for a, b in _candidates(keys, starts, index.lower, radius, same):
+            a, b = verified(a, b, lanes, others)
+            if len(a):
+                a, b = forest.added(a, b + shift)
+                yield node[a], nodes[b - shift]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (segment and bucket): the near pairs of each bucket with itself and with later ones that few upper bits tell from it."""
+        remembered("simhash-near", lambda: None)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            key = table.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            if last:
-                solve(table.slice(0, last))
-            rest = table.slice(last)
-            if len(found) > 100_000:
-                yield out()
-        if rest is not None and rest.num_rows:
-            solve(rest)
-        if found:
-            yield out()
+            for item in batch.column(0).to_pylist():
+                segment, bucket = divmod(item, 1 << index.upper)
+                if (one := load(segment, bucket)) is None:
+                    continue
+                for size in range(min(RADIUS, index.upper) + 1):
+                    for changed in combinations(range(index.upper), size):
+                        number = bucket ^ sum(1 << bit for bit in changed)
+                        if number < bucket or (other := one if number == bucket else load(segment, number)) is None:
+                            continue
+                        for a, b in between(one, other, RADIUS - size, number == bucket):
+                            two = a != b  # a repeated id can have several signatures
+                            if two.any():
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[two]), pa.array(np.maximum(a, b)[two])], names=["a", "b"])
         give_back()
 
     return run
 
 
 def near_pairs(nodes: DataFrame, params: SimHashParams) -> DataFrame:
-    """(a, b), a < b: a spanning forest of each key's verified pairs. ``nodes``: (node, s0..s3), one row a signature."""
+    """(a, b), a < b: pairs within ``max_distance`` that join all that such pairs join. ``nodes``: (node, s0..s3), one row a signature."""
     spark = nodes.sparkSession
+    ship(spark)
     signed = nodes.select("node", *LANE_NAMES)
-    # One row is two longs; partitions of about 2 million rows are sorted in memory by the Python worker.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * BITS // 2_000_000))
-    found: list[DataFrame] = []
-    for order in bit_orders():
-        index = signed.mapInArrow(_index_rows(order), "key long, node long")
-        at = scratch(spark, "simhash-again")
-        with shuffles_removed(spark):
-            index.repartition(parts, "key").mapInArrow(_met_again, "key long, node long").write.parquet(at)
-            rows = spark.read.schema("key long, node long").parquet(at).join(signed, "node").select("key", "node", *LANE_NAMES)
-            found.append(materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(params.max_distance), EDGE), "simhash-pairs"))
-        discard(spark, at)
-    return reduce(DataFrame.union, found).dropDuplicates(["a", "b"])
+    n = signed.count()
+    at = scratch(spark, "simhash-index")
+    index = replace(cuts(n, params.max_distance), folder=local_path(at))
+    os.makedirs(index.folder, exist_ok=True)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = len(index.starts) << index.upper
+    schema = "bucket long, node long, " + ", ".join(f"{lane} long" for lane in LANE_NAMES)
+    # A partition's rows, of 48 bytes, are sorted in memory by the Python worker.
+    spread = signed.mapInArrow(_index_rows(index), schema).repartition(max(partitions, -(-n * len(index.starts) // 500_000)), "bucket")
+    with shuffles_removed(spark):
+        spread.mapInArrow(_save_buckets(index), "n long").write.format("noop").mode("overwrite").save()
+    work = spark.range(0, items, 1, min(items, max(partitions, items // 8))).mapInArrow(_near_rows(index, params.max_distance), EDGE)
+    with shuffles_removed(spark):
+        found = materialize(work.dropDuplicates(["a", "b"]), "simhash-pairs")
+    discard(spark, at)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
