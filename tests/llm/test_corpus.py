@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,35 @@ def test_embeddings_of_every_length_are_searched(spark):
     assert len(set(got.values())) == 332
 
 
+def test_language_model_takes_few_bytes_a_run(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"{w}{rng.randint(0, 40)}" for w in words(rng, 300)) for _ in range(60)]
+    model = lm.train(documents(spark, texts), lm.PRODUCTION)
+    read = [["<s>", "<s>", *lm.TOKEN.findall(t), "</s>"] for t in texts]
+    pairs, triples = ({g for w in read for g in zip(*(w[i:] for i in range(k)))} for k in (2, 3))
+    stored = sum(p.stat().st_size for folder in model.grams for p in Path(folder).iterdir())
+    # Pairs count as runs and again as contexts.
+    assert stored < 7 * len(pairs) + 7 * len(triples) + 10 * len(pairs) + 4096
+
+
+def test_short_store_finds_what_was_put(tmp_path):
+    hashstore = pytest.importorskip("weftline.llm.hashstore")
+    rng = np.random.default_rng(4)
+    for bits, size in ((0, 3), (3, 20_000), (16, 1)):
+        folder = str(tmp_path / str(bits))
+        Path(folder).mkdir()
+        keys = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        counts = np.where(rng.random(len(keys)) < 0.1, rng.integers(250, 2**40, len(keys)), rng.integers(1, 5, len(keys)))
+        bucket = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+        for number in np.unique(bucket).tolist():
+            hashstore.put_short(folder, "key", number, bits, keys[bucket == number], {"n": counts[bucket == number]})
+        asked = np.unique(np.concatenate([keys[::2], rng.integers(0, 2**64, 500, dtype=np.uint64)]))
+        store, got = hashstore.ShortStore(folder, "key", bits), {}
+        for number, which, at in store.find(asked):
+            got |= dict(zip(asked[which].tolist(), store.values("n", number, at).tolist()))
+        assert got == dict(zip(keys[::2].tolist(), counts[::2].tolist()))
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_perplexity_of_higher_order_equals_brute_force(spark, order):
     rng = random.Random(order)

@@ -96,14 +96,18 @@ class Store:
             self.maps[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[at]
 
-    def find(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For sorted uint64 keys: (bucket, numbers of the keys that it holds, their places in it)."""
+    def buckets(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, first, after the last) of each bucket of sorted uint64 keys."""
         if not len(keys):
             return
         buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])).tolist() + [len(keys)]
         for low, high in zip(starts, starts[1:]):
-            number = int(buckets[low])
+            yield int(buckets[low]), low, high
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For sorted uint64 keys: (bucket, numbers of the keys that it holds, their places in it)."""
+        for number, low, high in self.buckets(keys):
             have = self.column(self.key, number)
             if have is None or not len(have):
                 continue
@@ -112,3 +116,63 @@ class Store:
             place[place == len(have)] = 0
             hit = np.flatnonzero(have[place] == part)
             yield number, low + hit, place[hit]
+
+    def values(self, name: str, number: int, at: np.ndarray) -> np.ndarray:
+        return self.column(name, number)[at]
+
+
+#: Counts from here on are kept apart.
+MOST = 255
+
+
+def put_short(folder: str, name: str, number: int, bits: int, keys: np.ndarray, counts: dict[str, np.ndarray]) -> None:
+    """Save a bucket of sorted distinct keys, with counts in a byte each where they fit.
+
+    Of a key's bits after those that the whole bucket shares, the first say in which slot it is, of about ten keys, and the
+    next 32 are kept.
+    """
+    for column, n in counts.items():
+        large = np.flatnonzero(n >= MOST)
+        put(folder, f"{column}-{number}", np.minimum(n, MOST).astype(np.uint8))
+        put(folder, f"{column}-large-{number}", np.stack([large, n[large]]).astype(np.int64))
+    size = slot_bits(len(keys))
+    slot, rest = slots(keys, bits, size)
+    put(folder, f"{name}-slots-{number}", np.searchsorted(slot, np.arange((1 << size) + 1)).astype(np.uint32))
+    put(folder, f"{name}-{number}", rest)  # last: a bucket with keys is whole
+
+
+def slot_bits(n: int) -> int:
+    return max(0, n.bit_length() - 4)
+
+
+def slots(keys: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of keys, the 32 bits after those)."""
+    tail = keys << np.uint64(bits)
+    slot = (tail >> np.uint64(64 - size)).astype(np.int64) if size else np.zeros(len(keys), np.int64)
+    return slot, ((tail << np.uint64(size)) >> np.uint64(32)).astype(np.uint32)
+
+
+class ShortStore(Store):
+    """Reads what ``put_short`` wrote."""
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for number, first, stop in self.buckets(keys):
+            have, table = self.column(self.key, number), self.column(f"{self.key}-slots", number)
+            if have is None or not len(have):
+                continue
+            slot, part = slots(keys[first:stop], self.bits, slot_bits(len(have)))
+            low, high = table[slot].astype(np.int64), table[slot + 1].astype(np.int64)
+            while (some := low < high).any():
+                middle = (low + high) >> 1
+                less = have[np.minimum(middle, len(have) - 1)] < part
+                low, high = np.where(some & less, middle + 1, low), np.where(some & ~less, middle, high)
+            inside = np.flatnonzero(low < table[slot + 1])
+            hit = inside[have[low[inside]] == part[inside]]
+            yield number, first + hit, low[hit]
+
+    def values(self, name: str, number: int, at: np.ndarray) -> np.ndarray:
+        out = self.column(name, number)[at].astype(np.int64)
+        if len(large := np.flatnonzero(out == MOST)):
+            places, counts = self.column(f"{name}-large", number)
+            out[large] = counts[np.searchsorted(places, at[large])]
+        return out

@@ -1,8 +1,9 @@
 """Operator 6: perplexity under an interpolated modified Kneser-Ney model.
 
-Tokens are words and runs of marks, in lower case; a document is read from ``order - 1`` start marks to an end mark. The
-runs of ``order`` words are counted over all documents: a task sums its own first, then each bucket of them is summed by
-one task, which writes its sorted hash array to the shared folder. Each lower level counts the distinct words before a
+Tokens are words and runs of marks, in lower case; a document is read from ``order - 1`` start marks to an end mark. All
+words are numbered first, so that runs of words travel as packed numbers, a row for each bucket of a task. The runs of
+``order`` words are counted over all documents: a task sums its own first, then each bucket of them is summed by one task,
+which writes its sorted hash array to the shared folder. Each lower level counts the distinct words before a
 run, so a bucket's distinct runs go on without their first word to the buckets of the next level, down to pairs; those
 give for each word how often it is followed, by how many words once, twice or more often, and how many words it follows.
 The three discounts of each level follow from its counts of counts. A run's probability is its discounted share plus the
@@ -13,7 +14,8 @@ The registered query has order 3 (``PRODUCTION``).
 
 Words are known by 64-bit hashes, pairs by 64-bit keys whose upper part comes from the first word, and from ``SPREAD``
 values of the second so that a frequent word is spread over several buckets. Two pairs with one key would be counted
-together: at ten billion pairs a few are expected.
+together: at ten billion pairs a few are expected. Arrays keep a key's bucket, its slot there and 32 bits more, 49 bits of
+it inside a bucket of 1.3 million runs: two of a bucket's runs share these in two of a thousand such buckets.
 
 Defined results:
 - a null text has 0 tokens and null log_prob and perplexity, and isn't counted; an empty one is scored as its end mark;
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 from weftline.llm import cutting, hashstore
 from weftline.llm.batches import give_back, map_rows, remembered, text_slices, utf8_bytes
 from weftline.llm.cutting import mix
-from weftline.runtime import local_path, materialize, scratch, ship, shuffles_removed
+from weftline.runtime import discard, local_path, materialize, scratch, ship, shuffles_removed
 
 #: What a token is; cutting.runs finds the same.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -120,47 +122,196 @@ def gram_keys(words: list[np.ndarray]) -> np.ndarray:
     return (context & np.uint64(0xFFFF000000000000)) | (lower >> np.uint64(16))
 
 
-def _gram_schema(order: int) -> str:
-    return ", ".join(["bucket int", *(f"w{i} long" for i in range(order)), "n long"])
+#: Runs of words of a bucket: the numbers of its distinct words, which of them each run has and how often it occurs, compressed.
+PACKED = "bucket int, words int, runs int, data binary"
 
 
-def _gram_rows(key: np.ndarray, words: list[np.ndarray], n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
-    # Runs with one first word stand together, so that the shuffle compresses.
-    order = np.lexsort((*words[-2::-1], bucket))
-    names = ["bucket", *(f"w{i}" for i in range(len(words))), "n"]
-    for k in range(0, len(order), 1 << 17):
-        o = order[k : k + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[o]), *(pa.array(w[o].view(np.int64)) for w in words), pa.array(n[o].astype(np.int64))], names=names)
+@dataclass
+class Vocabulary:
+    """All words' hashes, in order; a word's number is its place."""
+
+    folder: str
+    bits: int
+    starts: np.ndarray  # number of the first word of each bucket, and of all words
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of sorted words."""
+        store, out = hashstore.Store(self.folder, "key", self.bits), np.zeros(len(words), np.int64)
+        for bucket, which, at in store.find(words):
+            out[which] = self.starts[bucket] + at
+        return out
+
+    def words(self, numbers: np.ndarray) -> np.ndarray:
+        """Words of sorted numbers."""
+        store, out = hashstore.Store(self.folder, "key", self.bits), np.zeros(len(numbers), np.uint64)
+        edges = np.searchsorted(numbers, self.starts)
+        for bucket in np.flatnonzero(np.diff(edges)).tolist():
+            low, high = edges[bucket], edges[bucket + 1]
+            out[low:high] = store.column("key", bucket)[numbers[low:high] - self.starts[bucket]]
+        return out
+
+
+def _word_rows(bits: int):
+    """A task's distinct words, one row a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("lm-count", lambda: None)
+        known = np.array([START, END])
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = np.unique(np.concatenate([known, *held]))
+            held.clear()
+            for bucket, low, high in hashstore.Store("", "", bits).buckets(words):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([words[low:high].tobytes()], pa.binary())], names=["bucket", "data"])
+
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                held.append(np.unique(read(part.column(0), 1)[0][0]))
+                size += len(held[-1])
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
+        give_back()
+
+    return run
+
+
+def _vocabulary_rows(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, data in zip(*(column.to_pylist() for column in batch.columns)):
+                parts.setdefault(bucket, []).append(np.frombuffer(data, np.uint64))
+        for bucket, words in parts.items():
+            words = np.unique(np.concatenate(words))
+            hashstore.put(folder, f"key-{bucket}", words)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(words)], pa.int64())], names=["bucket", "n"])
+        give_back()
+
+    return run
+
+
+def vocabulary_of(texts: DataFrame, bits: int) -> Vocabulary:
+    spark = texts.sparkSession
+    folder = local_path(scratch(spark, "lm-vocabulary"))
+    os.makedirs(folder, exist_ok=True)
+    rows = texts.mapInArrow(_word_rows(bits), "bucket int, data binary").repartitionById(1 << bits, F.col("bucket"))
+    with shuffles_removed(spark):
+        sizes = materialize(rows.mapInArrow(_vocabulary_rows(folder), "bucket int, n long"), "lm-sizes").collect()
+    count = np.zeros(1 << bits, np.int64)
+    for r in sizes:
+        count[r["bucket"]] = r["n"]
+    return Vocabulary(folder, bits, np.concatenate([[0], np.cumsum(count)]))
+
+
+def _planes(x: np.ndarray, most: int) -> bytes:
+    """Whole numbers up to ``most``, their first bytes before their second ones and so on."""
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    return np.dtype(kind).str.encode().ljust(4) + np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    kind = np.dtype(bytes(data[:4]).decode().strip())
+    stop = 4 + n * kind.itemsize
+    planes = np.frombuffer(data[4:stop], np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n), data[stop:]
+
+
+def _packed_rows(key: np.ndarray, numbers: np.ndarray, runs: list[np.ndarray], n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """``runs``: places of words in ``numbers``, which are sorted; one row a bucket."""
+    bucket = (key >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(key), np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])).tolist() if len(order) else []
+    rank = np.zeros(len(numbers), np.int64)
+    for low, high in zip(edges, edges[1:]):
+        o = order[low:high]
+        mine = [w[o] for w in runs]
+        here = np.zeros(len(numbers), bool)
+        for w in mine:
+            here[w] = True
+        known = np.flatnonzero(here)
+        rank[known] = np.arange(len(known))
+        count = n[o]
+        steps = np.diff(numbers[known], prepend=0)
+        raw = b"".join([_planes(steps, int(steps.max())), *(_planes(rank[w], len(known)) for w in mine), _planes(count, int(count.max()))])
+        data = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[o[0]])], pa.int32()), pa.array([len(known)], pa.int32()), pa.array([len(o)], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "words", "runs", "data"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(bucket, numbers of its distinct words, places of each run's words among them, how often it occurs); a run may occur again."""
+    parts: dict[int, list[tuple[int, int, bytes]]] = {}
+    for batch in batches:
+        for number, *part in zip(*(column.to_pylist() for column in batch.columns)):
+            parts.setdefault(number, []).append(part)
+    for number in sorted(parts):
+        read = []
+        for known, size, data in parts.pop(number):
+            raw = memoryview(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
+            steps, rest = _numbers(raw, known)
+            columns = []
+            for _ in range(order + 1):
+                column, rest = _numbers(rest, size)
+                columns.append(column)
+            read.append((np.cumsum(steps, dtype=np.int64), columns))
+        numbers = np.unique(np.concatenate([words for words, _ in read]))
+        places = [np.searchsorted(numbers, words) for words, _ in read]
+        runs = [np.concatenate([place[columns[i]] for place, (_, columns) in zip(places, read)]) for i in range(order)]
+        n = np.concatenate([columns[order].astype(np.int64) for _, columns in read])
+        del read, places
+        yield number, numbers, runs, n
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct sorted keys, place of one row of each, summed counts)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sums = np.diff(np.append(starts, len(keys))) if counts is None else np.add.reduceat(counts[order], starts) if len(keys) else counts
     return keys[starts], order[starts], sums
 
 
-def _count_rows(bits: int, order: int):
+def _in_order(runs: list[np.ndarray], words: int) -> np.ndarray:
+    """Whole numbers that are equal and sorted as the runs are; ``words``: how many words there are."""
+    bits = max(1, int(words).bit_length())
+    key, used = runs[0].astype(np.int64), bits
+    for w in runs[1:]:
+        if used + bits > 63:
+            key = np.unique(key, return_inverse=True)[1]
+            used = len(key).bit_length()
+        key, used = (key << bits) | w, used + bits
+    return key
+
+
+def _count_rows(known: Vocabulary, bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
         remembered("lm-count", lambda: None)
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, n, *words = (np.concatenate(x) for x in zip(*held))
+            *before, last = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            key, at, n = _summed(key, n)
-            yield from _gram_rows(key, [w[at] for w in words], n, bits)
+            vocabulary, runs = np.unique(np.append(last, START), return_inverse=True)
+            start, runs = runs[-1], [runs[:-1]]
+            for back, words in enumerate(reversed(before), 1):
+                number = np.full(len(last), start)
+                number[back:] = runs[-1][: len(last) - back]
+                runs.insert(0, np.where(words == START, start, number))
+            _, at, n = _summed(_in_order(runs, len(vocabulary)), None)
+            runs = [w[at] for w in runs]
+            yield from _packed_rows(gram_keys([vocabulary[w] for w in runs]), known.numbers(vocabulary), runs, n, bits)
 
         for batch in batches:
             for part in text_slices(batch, "text"):
                 grams, _ = read(part.column(0), order)
-                key, at, n = _summed(gram_keys(grams), None)
-                held.append((key, n.astype(np.int64), *(w[at] for w in grams)))
-                size += len(key)
+                if not len(grams[0]):
+                    continue
+                held.append(grams)
+                size += len(grams[0])
                 if size > HELD:
                     yield from out()
                     size = 0
@@ -171,65 +322,59 @@ def _count_rows(bits: int, order: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    parts: dict[int, list[pa.RecordBatch]] = {}
-    for batch in batches:
-        b = batch.column(0).to_numpy()
-        for number in np.unique(b).tolist():
-            parts.setdefault(number, []).append(batch.filter(pa.array(b == number)) if (b != number).any() else batch)
-    for number in sorted(parts):
-        yield number, pa.Table.from_batches(parts.pop(number))
-
-
-def _lower_rows(folder: str, bits: int, order: int):
+def _lower_rows(known: Vocabulary, folder: str, bits: int, order: int):
     """Sum and save the runs of ``order`` words, three or more, with their contexts; pass on each distinct run without its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in _by_bucket(batches):
-            words = [table.column(1 + i).combine_chunks().to_numpy().view(np.uint64) for i in range(order)]
-            key, at, n = _summed(gram_keys(words), table.column(1 + order).combine_chunks().to_numpy())
-            del table
-            words = [w[at] for w in words]
-            context, place = np.unique(context_keys(words[:-1]), return_inverse=True)
-            hashstore.put(folder, f"followed-{number}", np.bincount(place, n, len(context)).astype(np.int64))
-            for k, kind in ((1, n == 1), (2, n == 2), (3, n > 2)):
-                hashstore.put(folder, f"kinds{k}-{number}", np.bincount(place[kind], minlength=len(context)).astype(np.int32))
-            hashstore.put(folder, f"context-{number}", context)
+        for number, numbers, runs, n in _by_bucket(batches, order):
+            vocabulary = known.words(numbers)
+            _, at, n = _summed(_in_order(runs, len(vocabulary)), n)
+            runs = [w[at] for w in runs]
+            # Runs are in order, so a context's stand together.
+            first = np.ones(len(n), bool)
+            first[1:] = np.any([w[1:] != w[:-1] for w in runs[:-1]], axis=0)
+            starts = np.flatnonzero(first)
+            context = context_keys([vocabulary[w[starts]] for w in runs[:-1]])
+            sums = {"followed": np.add.reduceat(n, starts), **{f"kinds{k}": np.add.reduceat(kind.astype(np.int64), starts) for k, kind in ((1, n == 1), (2, n == 2), (3, n > 2))}}
+            by = np.argsort(context)
+            hashstore.put_short(folder, "context", number, bits, context[by], {name: x[by] for name, x in sums.items()})
             hashstore.put(folder, f"of-{number}", np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64))
-            hashstore.put(folder, f"n-{number}", np.minimum(n, 2**31 - 1).astype(np.int32))
-            hashstore.put(folder, f"key-{number}", key)  # last: a bucket with keys is whole
-            lower, at, n = _summed(gram_keys(words[1:]), None)
-            yield from _gram_rows(lower, [w[at] for w in words[1:]], n, bits)
+            key = gram_keys([vocabulary[w] for w in runs])
+            by = np.argsort(key)
+            hashstore.put_short(folder, "key", number, bits, key[by], {"n": n[by]})
+            del context, sums, key, by, first
+            _, at, n = _summed(_in_order(runs[1:], len(vocabulary)), None)
+            runs = [w[at] for w in runs[1:]]
+            yield from _packed_rows(gram_keys([vocabulary[w] for w in runs]), numbers, runs, n, bits)
+        give_back()
 
     return run
 
 
-def _sum_rows(folder: str, bits: int):
-    def save(number: int, table: pa.Table) -> tuple[np.ndarray, ...]:
-        u, v, n = (table.column(i).combine_chunks().to_numpy() for i in (1, 2, 3))
-        u, v = u.view(np.uint64), v.view(np.uint64)
-        key, at, n = _summed(pair_keys(u, v), n)
-        u, v = u[at], v[at]
-        hashstore.put(folder, f"n-{number}", np.minimum(n, 2**31 - 1).astype(np.int32))
-        hashstore.put(folder, f"key-{number}", key)  # last: a bucket with keys is whole
-        words, place = np.unique(np.concatenate([u, v]), return_inverse=True)
-        mine, theirs = place[: len(u)], place[len(u) :]
+def _sum_rows(known: Vocabulary, folder: str, bits: int):
+    def save(number: int, vocabulary: np.ndarray, runs: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, at, n = _summed(_in_order(runs, len(vocabulary)), n)
+        mine, theirs = (w[at] for w in runs)
+        key = pair_keys(vocabulary[mine], vocabulary[theirs])
+        by = np.argsort(key)
+        hashstore.put_short(folder, "key", number, bits, key[by], {"n": n[by]})
 
         def total(at: np.ndarray, what: np.ndarray | None = None) -> np.ndarray:
-            return np.bincount(at, what, len(words)).astype(np.int64)
+            return np.bincount(at, what, len(vocabulary)).astype(np.int64)
 
         kinds = [total(mine[n == 1]), total(mine[n == 2]), total(mine[n > 2])]
-        return (words.view(np.int64), total(mine, n), *kinds, total(theirs), *(int((n == k).sum()) for k in (1, 2, 3, 4)))
+        return (vocabulary.view(np.int64), total(mine, n), *kinds, total(theirs), *(int((n == k).sum()) for k in (1, 2, 3, 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in _by_bucket(batches):
-            words, *values, c1, c2, c3, c4 = save(number, table)
+        for number, numbers, *table in _by_bucket(batches, 2):
+            words, *values, c1, c2, c3, c4 = save(number, known.words(numbers), *table)
             for k in range(0, len(words), 1 << 17):
                 stop = k + (1 << 17)
                 m = len(words[k:stop])
                 # The counts of counts of the bucket ride on its first row.
                 ride = [pa.array(np.where((np.arange(m) == 0) & (k == 0), c, 0).astype(np.int64)) for c in (c1, c2, c3, c4)]
                 yield pa.RecordBatch.from_arrays([pa.array(words[k:stop]), *(pa.array(x[k:stop]) for x in values), *ride], names=[x.split()[0] for x in STATS.split(", ")])
+        give_back()
 
     return run
 
@@ -255,13 +400,23 @@ def train(docs: DataFrame, params: LmParams = LmParams()) -> Model | None:
     folders = [local_path(scratch(spark, f"lm-grams-{k}")) for k in range(2, params.order + 1)]
     for folder in folders:
         os.makedirs(folder, exist_ok=True)
-    grams = texts.mapInArrow(_count_rows(bits, params.order), _gram_schema(params.order))
+    known = vocabulary_of(texts, bits)
+    grams, before = texts.mapInArrow(_count_rows(known, bits, params.order), PACKED), None
     for k in range(params.order, 2, -1):
-        grams = grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_lower_rows(folders[k - 2], bits, k), _gram_schema(k - 1))
-    stats = grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_sum_rows(folders[0], bits), STATS)
+        # Each level is a job of its own, so that its shuffle is gone before the next one's.
+        at = scratch(spark, f"lm-runs-{k - 1}")
+        with shuffles_removed(spark):
+            grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_lower_rows(known, folders[k - 2], bits, k), PACKED).write.parquet(at)
+        if before:
+            discard(spark, before)
+        grams, before = spark.read.schema(PACKED).parquet(at), at
+    stats = grams.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_sum_rows(known, folders[0], bits), STATS)
     names = [x.split()[0] for x in STATS.split(", ")][1:]
     with shuffles_removed(spark):
         words = materialize(stats.groupBy("w").agg(*[F.sum(n).alias(n) for n in names]), "lm-words")
+    if before:
+        discard(spark, before)
+    discard(spark, f"file:{known.folder}")
     follows = F.col("follows")
     of = [F.sum(f"c{k}").alias(f"c{k}") for k in (1, 2, 3, 4)] + [F.sum(F.when(follows == k, 1).otherwise(0)).alias(f"f{k}") for k in (1, 2, 3, 4)] + [F.sum(F.when(follows > 2, 1).otherwise(0)).alias("more"), F.sum(follows).alias("types"), F.count("*").alias("v")]
     s = words.agg(*of).first()
@@ -283,15 +438,15 @@ def _looked_up(keys: np.ndarray, store: hashstore.Store, columns: dict[str, floa
     out = {c: np.full(len(distinct), missing, np.float64) for c, missing in columns.items()}
     for number, which, at in store.find(distinct):
         for c, values in out.items():
-            values[which] = store.column(c, number)[at]
+            values[which] = store.values(c, number, at)
     return [values[place] for values in out.values()]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.grams = [hashstore.Store(folder, "key", model.bits) for folder in model.grams]
-        self.contexts = [hashstore.Store(folder, "context", model.bits) for folder in model.grams]
+        self.grams = [hashstore.ShortStore(folder, "key", model.bits) for folder in model.grams]
+        self.contexts = [hashstore.ShortStore(folder, "context", model.bits) for folder in model.grams]
         self.words = hashstore.Store(model.words, "key", model.word_bits)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
