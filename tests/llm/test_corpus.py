@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
-from weftline.llm import embdedup, lm, mixing, simhash  # noqa: E402
+from weftline.llm import batches, embdedup, lm, mixing, simhash  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, key string"
 
@@ -265,6 +265,15 @@ def test_short_store_finds_what_was_put(tmp_path):
         assert got == dict(zip(keys[::2].tolist(), counts[::2].tolist()))
 
 
+def test_scoring_in_slices_of_any_size_gives_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = documents(spark, [" ".join(words(rng, 50)) for _ in range(40)] + ["", None, "to be or not " * 300])
+    want = sorted(map(tuple, lm.perplexity(docs, lm.PRODUCTION).collect()))
+    assert lm.SCORED_BYTES > batches.SLICE_BYTES
+    monkeypatch.setattr(lm, "SCORED_BYTES", 100)
+    assert sorted(map(tuple, lm.perplexity(docs, lm.PRODUCTION).collect())) == want
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_perplexity_of_higher_order_equals_brute_force(spark, order):
     rng = random.Random(order)

@@ -44,8 +44,8 @@ def remembered(owner: Hashable, make: Callable[[], Any]) -> Any:
     return _held[1]
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each slice holds about SLICE_BYTES of ``column``; one row is never cut."""
+def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each slice holds about ``size`` bytes of ``column``; one row is never cut."""
     n = batch.num_rows
     if not n:
         return
@@ -54,7 +54,7 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -68,7 +68,7 @@ def utf8_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """Narrow map: ``make()`` runs once a task and gives a kernel from a slice to the output columns."""
     ship(df.sparkSession)
     names = schema.fieldNames()
@@ -76,7 +76,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType, make: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, size):
                 yield pa.RecordBatch.from_arrays(kernel(part), names=names)
         give_back()
 

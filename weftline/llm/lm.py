@@ -50,6 +50,8 @@ START, END = np.uint64(1), np.uint64(2)
 SPREAD = np.uint64(7)
 #: Runs of words that a counting task holds before it hands them on.
 HELD = 1_500_000
+#: Text bytes that are scored at once: every slice looks into every bucket.
+SCORED_BYTES = 8 << 20
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 STATS = "w long, followed long, n1 long, n2 long, n3 long, follows long, c1 long, c2 long, c3 long, c4 long"
@@ -492,7 +494,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return kernel
 
-    return map_rows(docs, ["doc_id", "text"], SCHEMA, make)
+    return map_rows(docs, ["doc_id", "text"], SCHEMA, make, size=SCORED_BYTES)
 
 
 def perplexity(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
