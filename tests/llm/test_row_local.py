@@ -1,6 +1,7 @@
 """Operators that look at one row: language, toxicity, quality rules, pages, chats, tokens."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -77,6 +78,19 @@ def test_language_code_lengths_equal_a_byte_by_byte_pass():
             assert got[i, k] == ppm_cost(trees, known, t, k)
 
 
+def test_language_training_needs_little_room_on_the_driver():
+    rng = np.random.default_rng(5)
+    samples = {lang: [rng.choice(list(b"abcdefghijklmnopqrstuvwxyz "), 150_000).astype(np.uint8).tobytes()] for lang in ("de", "en", "fr")}
+    tracemalloc.start()
+    try:
+        model = langid.train(samples, langid.LangIdParams(max_contexts=2000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # About 150 000 distinct runs of five bytes a language: as dictionaries they took 200 MB.
+    assert peak < model.cost.nbytes + model.step.nbytes + (40 << 20)
+
+
 def test_language_edges_and_accuracy(spark, edge):
     model = langid.train({"en": [(EN * 20).encode()], "de": [(DE * 20).encode()]})
     got = {r["doc_id"]: r for r in langid.identify(edge, model).collect()}

@@ -37,6 +37,8 @@ ORDER = 4
 STRETCH = 256
 #: Code lengths are whole multiples of 1/SCALE bit, so that sums don't depend on their order.
 SCALE = 1024
+#: Contexts whose costs are copied at a time.
+BLOCK = 2048
 
 SCHEMA = T.StructType(
     [
@@ -88,65 +90,106 @@ def _counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
-def train(samples: dict[str, list[bytes]], params: LangIdParams = LangIdParams()) -> PpmModel:
-    """Frozen context trees of every language, as one automaton."""
-    languages = sorted(k for k, v in samples.items() if any(v))
-    trees: list[dict[bytes, dict[int, int]]] = []
-    total: dict[bytes, int] = {}
-    for lang in languages:
-        tree: dict[bytes, dict[int, int]] = {}
-        for order in range(ORDER + 1):
-            keys, counts = _counts(samples[lang], order)
-            for key, c in zip(keys.tolist(), counts.tolist()):
-                gram = key.to_bytes(order + 1, "big")
-                tree.setdefault(gram[:-1], {})[gram[-1]] = c
-        trees.append(tree)
-        for context, followers in tree.items():
-            total[context] = total.get(context, 0) + sum(followers.values())
-    # The most frequent contexts; a prefix or suffix of a context is at least about as frequent, and is added if it isn't.
+@dataclass
+class _Tree:
+    """What follows a language's contexts of one length: an entry a pair of context and byte, in order."""
+
+    context: np.ndarray  # distinct contexts, packed big-endian
+    seen: np.ndarray  # how often each occurs
+    kinds: np.ndarray  # how many different bytes follow each
+    of: np.ndarray  # by pair: place of its context
+    byte: np.ndarray
+    count: np.ndarray
+
+
+def _tree(texts: list[bytes], order: int) -> _Tree:
+    keys, count = _counts(texts, order)
+    before = keys >> np.uint64(8)
+    first = np.concatenate([[True], before[1:] != before[:-1]])[: len(keys)]
+    starts = np.flatnonzero(first)
+    seen = np.add.reduceat(count, starts) if len(starts) else count
+    return _Tree(before[starts], seen, np.diff(np.append(starts, len(keys))), np.cumsum(first) - 1, (keys & np.uint64(255)).astype(np.uint8), count)
+
+
+def _chosen(samples: list[list[bytes]], params: LangIdParams) -> list[bytes]:
+    """The most frequent contexts; a prefix or suffix of a context is at least about as frequent, and is added if it isn't."""
+    parts = []
+    for order in range(ORDER + 1):
+        context, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for texts in samples:
+            t = _tree(texts, order)
+            both, n = np.concatenate([context, t.context]), np.concatenate([n, t.seen])
+            del t
+            by = np.argsort(both, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], both[by][1:] != both[by][:-1]])[: len(by)])
+            context, n = both[by[starts]], np.add.reduceat(n[by], starts) if len(starts) else n
+        often = n >= params.min_count
+        parts.append((n[often], np.full(int(often.sum()), order), context[often]))
+    n, size, context = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((context, size, -n))[: params.max_contexts + 1]
     chosen = {b""}
-    for context, n in sorted(total.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
-        if len(chosen) >= params.max_contexts or n < params.min_count:
+    for key, length in zip(context[by].tolist(), size[by].tolist()):
+        if len(chosen) >= params.max_contexts:
             break
-        for i in range(len(context)):
-            for j in range(i + 1, len(context) + 1):
-                chosen.add(context[i:j])
-    contexts = sorted(chosen, key=lambda s: (len(s), s))
-    number = {s: i for i, s in enumerate(contexts)}
+        text = key.to_bytes(length, "big")
+        for i in range(length):
+            for j in range(i + 1, length + 1):
+                chosen.add(text[i:j])
+    return sorted(chosen, key=lambda s: (len(s), s))
+
+
+def train(samples: dict[str, list[bytes]], params: LangIdParams = LangIdParams()) -> PpmModel:
+    """Frozen context trees of every language, as one automaton.
 
-    seen = sorted({b for tree in trees for b in tree.get(b"", {})})
+    The driver has little room, so trees are arrays that are made again when they are needed, one language and length at a time.
+    """
+    languages = sorted(k for k, v in samples.items() if any(v))
+    contexts = _chosen([samples[lang] for lang in languages], params)
+    number = {s: i for i, s in enumerate(contexts)}
+    shorter = np.array([number[s[1:]] for s in contexts])
+    prefix = np.array([number[s[:-1]] for s in contexts])
+    last = np.array([s[-1] if s else 0 for s in contexts])
+    packed = np.array([int.from_bytes(s, "big") for s in contexts], np.uint64)
+    edges = np.searchsorted([len(s) for s in contexts], np.arange(ORDER + 2)).tolist()
+    levels = [slice(low, high) for low, high in zip(edges, edges[1:])]
+    del number
+
+    seen = sorted({b for lang in languages for t in samples[lang] for b in set(t)})
     other, pad, symbols = len(seen), len(seen) + 1, len(seen) + 2
     classes = np.full(256, other, np.uint8)
     classes[seen] = np.arange(len(seen), dtype=np.uint8)
     step = np.zeros((len(contexts), symbols), np.int32)
-    cost = np.zeros((len(contexts), symbols, len(languages)), np.float64)
-    symbol_of = {b: i for i, b in enumerate(seen)}
-    for s, context in enumerate(contexts):
-        shorter = number[context[1:]] if context else 0
-        if context:
-            step[s] = step[shorter]
-            cost[s] = cost[shorter]
-        for b, i in symbol_of.items():
-            longer = number.get((context + bytes([b]))[-ORDER:]) if len(context) < ORDER else None
-            if longer is not None:
-                step[s, i] = longer
-        for k, tree in enumerate(trees):
-            followers = tree.get(context)
-            if not context:
-                followers = followers or {}
-                n, d = sum(followers.values()), len(followers)
-                cost[s, :, k] = 8.0 + (np.log2((n + d) / d) if d else 0.0)
-            elif not followers:
-                continue
-            else:
-                n, d = sum(followers.values()), len(followers)
-                cost[s, :, k] += np.log2((n + d) / d)
-            for b, c in followers.items():
-                cost[s, symbol_of[b], k] = np.log2((n + d) / c)
+    for level, longer in zip(levels, [*levels[1:], slice(0, 0)]):
+        if level.start:
+            step[level] = step[shorter[level]]
+        step[prefix[longer], classes[last[longer]]] = np.arange(longer.start, longer.stop)
     step[:, pad] = 0
-    cost[:, pad, :] = 0
-    whole = np.floor(cost * SCALE + 0.5).astype(np.int32).reshape(-1, max(1, len(languages)))
-    return PpmModel(languages, classes, (step * symbols).astype(np.int32).reshape(-1), whole, symbols, params.max_bits_per_byte, params.min_margin)
+    step *= symbols
+    whole = np.zeros((len(contexts), symbols, max(1, len(languages))), np.int32)
+    for k, lang in enumerate(languages):
+        cost = np.full((len(contexts), symbols), 8.0)
+        for order, level in enumerate(levels):
+            if level.start == level.stop:
+                continue
+            for low in range(max(1, level.start), level.stop, BLOCK):
+                high = min(level.stop, low + BLOCK)
+                np.take(cost, shorter[low:high], axis=0, out=cost[low:high])
+            t = _tree(samples[lang], order)
+            place = np.minimum(np.searchsorted(packed[level], t.context), level.stop - level.start - 1)
+            known = packed[level][place] == t.context
+            place += level.start
+            escape = np.log2((t.seen + t.kinds) / t.kinds)
+            for mine in np.array_split(np.flatnonzero(known), len(known) // BLOCK + 1):
+                cost[place[mine]] += escape[mine, None]
+            pairs = np.flatnonzero(known[t.of])
+            of = t.of[pairs]
+            cost[place[of], classes[t.byte[pairs]]] = np.log2((t.seen + t.kinds)[of] / t.count[pairs])
+        cost[:, pad] = 0
+        cost *= SCALE
+        cost += 0.5
+        whole[:, :, k] = np.floor(cost, out=cost)
+        del cost
+    return PpmModel(languages, classes, step.reshape(-1), whole.reshape(step.size, -1), symbols, params.max_bits_per_byte, params.min_margin)
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
