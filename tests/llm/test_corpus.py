@@ -265,6 +265,39 @@ def test_short_store_finds_what_was_put(tmp_path):
         assert got == dict(zip(keys[::2].tolist(), counts[::2].tolist()))
 
 
+def test_scoring_looks_each_word_of_a_slice_up_once(spark, monkeypatch):
+    hashstore = pytest.importorskip("weftline.llm.hashstore")
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 50)) for _ in range(40)]
+    scorer = lm.Scorer(lm.train(documents(spark, texts), lm.PRODUCTION))
+    asked, find = Counter(), hashstore.Store.find
+
+    def counted(store, keys):
+        asked[store.folder] += len(keys)
+        return find(store, keys)
+
+    monkeypatch.setattr(hashstore.Store, "find", counted)
+    scorer.texts(pa.array(texts))
+    # Beside the words themselves the end mark and the start mark.
+    assert asked[scorer.model.words] == len({w for t in texts for w in lm.TOKEN.findall(t)}) + 2
+
+
+def test_keys_of_stretches_do_not_depend_on_where_they_stand():
+    cutting = pytest.importorskip("weftline.llm.cutting")
+    parts = [b"to", b"x" * 70_000, b"be", b"y" * 200_000, b"to", b"\xff", b"x" * 70_000]
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    high = ends - 1
+    got = cutting.keys(np.frombuffer(b" ".join(parts) + b" ", np.uint8), high - [len(x) for x in parts], high).tolist()
+    want = []
+    for x in parts:
+        total, power = 0, int(cutting._BASE)
+        for b in x:
+            total = (total + int(cutting._BYTE[b]) * power) % 2**64
+            power = power * int(cutting._BASE) % 2**64
+        want.append(int(cutting.mix(np.array([total ^ len(x)], np.uint64))[0]))
+    assert got == want
+
+
 def test_scoring_in_slices_of_any_size_gives_the_same(spark, monkeypatch):
     rng = random.Random(7)
     docs = documents(spark, [" ".join(words(rng, 50)) for _ in range(40)] + ["", None, "to be or not " * 300])

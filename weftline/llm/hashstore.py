@@ -93,7 +93,8 @@ class Store:
         at = f"{name}-{number}"
         if at not in self.maps:
             path = os.path.join(self.folder, f"{at}.npy")
-            self.maps[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            # A plain view of the map: what is taken from it is copied without the map's own checks.
+            self.maps[at] = np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
         return self.maps[at]
 
     def buckets(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -161,12 +162,13 @@ class ShortStore(Store):
             if have is None or not len(have):
                 continue
             slot, part = slots(keys[first:stop], self.bits, slot_bits(len(have)))
-            low, high = table[slot].astype(np.int64), table[slot + 1].astype(np.int64)
+            low, end = table[slot].astype(np.int64), table[slot + 1].astype(np.int64)
+            high = end
             while (some := low < high).any():
                 middle = (low + high) >> 1
                 less = have[np.minimum(middle, len(have) - 1)] < part
                 low, high = np.where(some & less, middle + 1, low), np.where(some & ~less, middle, high)
-            inside = np.flatnonzero(low < table[slot + 1])
+            inside = np.flatnonzero(low < end)
             hit = inside[have[low[inside]] == part[inside]]
             yield number, first + hit, low[hit]
 

@@ -101,6 +101,24 @@ def read(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return grams, sizes
 
 
+def _place(sizes: np.ndarray) -> np.ndarray:
+    """The place of each run in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _before(number: np.ndarray, start: int, place: np.ndarray, back: int) -> np.ndarray:
+    """Numbers of the words ``back`` before those of ``number``, with ``start`` for start marks."""
+    out = np.full(len(number), start)
+    out[back:] = np.where(place[back:] >= back, number[: max(0, len(number) - back)], start)
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct sorted values; ``np.unique`` puts them in a hash table, which takes many times as long as a sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+
+
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     upper = mix(first + (second & SPREAD) * np.uint64(0x9E3779B97F4A7C15))
     lower = mix(first * np.uint64(0xD6E8FEB86659FD93) ^ mix(second))
@@ -163,14 +181,14 @@ def _word_rows(bits: int):
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = np.unique(np.concatenate([known, *held]))
+            words = _distinct(np.concatenate([known, *held]))
             held.clear()
             for bucket, low, high in hashstore.Store("", "", bits).buckets(words):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([words[low:high].tobytes()], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                held.append(np.unique(read(part.column(0), 1)[0][0]))
+                held.append(_distinct(read(part.column(0), 1)[0][0]))
                 size += len(held[-1])
                 if size > HELD:
                     yield from out()
@@ -188,7 +206,7 @@ def _vocabulary_rows(folder: str):
             for bucket, data in zip(*(column.to_pylist() for column in batch.columns)):
                 parts.setdefault(bucket, []).append(np.frombuffer(data, np.uint64))
         for bucket, words in parts.items():
-            words = np.unique(np.concatenate(words))
+            words = _distinct(np.concatenate(words))
             hashstore.put(folder, f"key-{bucket}", words)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(words)], pa.int64())], names=["bucket", "n"])
         give_back()
@@ -259,7 +277,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[
                 column, rest = _numbers(rest, size)
                 columns.append(column)
             read.append((np.cumsum(steps, dtype=np.int64), columns))
-        numbers = np.unique(np.concatenate([words for words, _ in read]))
+        numbers = _distinct(np.concatenate([words for words, _ in read]))
         places = [np.searchsorted(numbers, words) for words, _ in read]
         runs = [np.concatenate([place[columns[i]] for place, (_, columns) in zip(places, read)]) for i in range(order)]
         n = np.concatenate([columns[order].astype(np.int64) for _, columns in read])
@@ -267,15 +285,28 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[
         yield number, numbers, runs, n
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct sorted keys, place of one row of each, summed counts)."""
     order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(starts, len(keys))) if counts is None else np.add.reduceat(counts[order], starts) if len(keys) else counts
+    sums = np.add.reduceat(counts[order], starts) if len(keys) else counts
     return keys[starts], order[starts], sums
 
 
+def _counted(runs: list[np.ndarray], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct runs in order, how often each occurs); ``words``: how many words there are."""
+    bits = max(1, int(words).bit_length())
+    if bits * len(runs) > 63:
+        _, at, n = _summed(_in_order(runs, words), np.ones(len(runs[0]), np.int64))
+        return [w[at] for w in runs], n
+    # A sort of packed runs is several times as fast as one that gives places; the runs are in what is sorted.
+    keys = np.sort(_in_order(runs, words))
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    n, keys = np.diff(np.append(starts, len(keys))), keys[starts]
+    return [(keys >> (bits * k)) & ((1 << bits) - 1) for k in reversed(range(len(runs)))], n
+
+
 def _in_order(runs: list[np.ndarray], words: int) -> np.ndarray:
     """Whole numbers that are equal and sorted as the runs are; ``words``: how many words there are."""
     bits = max(1, int(words).bit_length())
@@ -290,30 +321,26 @@ def _in_order(runs: list[np.ndarray], words: int) -> np.ndarray:
 
 def _count_rows(known: Vocabulary, bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         remembered("lm-count", lambda: None)
 
         def out() -> Iterator[pa.RecordBatch]:
-            *before, last = (np.concatenate(x) for x in zip(*held))
+            last, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            vocabulary, runs = np.unique(np.append(last, START), return_inverse=True)
-            start, runs = runs[-1], [runs[:-1]]
-            for back, words in enumerate(reversed(before), 1):
-                number = np.full(len(last), start)
-                number[back:] = runs[-1][: len(last) - back]
-                runs.insert(0, np.where(words == START, start, number))
-            _, at, n = _summed(_in_order(runs, len(vocabulary)), None)
-            runs = [w[at] for w in runs]
+            vocabulary, number = np.unique(np.append(last, START), return_inverse=True)
+            start, number = number[-1], number[:-1]
+            runs = [number if not back else _before(number, start, place, back) for back in reversed(range(order))]
+            runs, n = _counted(runs, len(vocabulary))
             yield from _packed_rows(gram_keys([vocabulary[w] for w in runs]), known.numbers(vocabulary), runs, n, bits)
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                grams, _ = read(part.column(0), order)
-                if not len(grams[0]):
+                (last,), sizes = read(part.column(0), 1)
+                if not len(last):
                     continue
-                held.append(grams)
-                size += len(grams[0])
+                held.append((last, _place(sizes)))
+                size += len(last)
                 if size > HELD:
                     yield from out()
                     size = 0
@@ -345,8 +372,7 @@ def _lower_rows(known: Vocabulary, folder: str, bits: int, order: int):
             by = np.argsort(key)
             hashstore.put_short(folder, "key", number, bits, key[by], {"n": n[by]})
             del context, sums, key, by, first
-            _, at, n = _summed(_in_order(runs[1:], len(vocabulary)), None)
-            runs = [w[at] for w in runs[1:]]
+            runs, n = _counted(runs[1:], len(vocabulary))
             yield from _packed_rows(gram_keys([vocabulary[w] for w in runs]), numbers, runs, n, bits)
         give_back()
 
@@ -436,12 +462,29 @@ def train(docs: DataFrame, params: LmParams = LmParams()) -> Model | None:
 
 def _looked_up(keys: np.ndarray, store: hashstore.Store, columns: dict[str, float]) -> list[np.ndarray]:
     """The columns of a store for each key; ``columns``: what keys that aren't there get."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    out = {c: np.full(len(distinct), missing, np.float64) for c, missing in columns.items()}
-    for number, which, at in store.find(distinct):
+    # Buckets are told by upper bits, of which sixteen are sorted in two passes and keep look-ups near one another.
+    order = np.argsort((keys >> np.uint64(48)).astype(np.uint16), kind="stable") if store.bits <= 16 else np.argsort(keys)
+    out = {c: np.full(len(keys), missing, np.float64) for c, missing in columns.items()}
+    for number, which, at in store.find(keys[order]):
+        places = order[which]
         for c, values in out.items():
-            values[which] = store.values(c, number, at)
-    return [values[place] for values in out.values()]
+            values[places] = store.values(c, number, at)
+    return list(out.values())
+
+
+def _numbered(context: np.ndarray, contexts: int, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair of a context and a word, by number; the number of each row's pair)."""
+    low, rows = int(words).bit_length(), int(len(word)).bit_length()
+    if int(contexts).bit_length() + low + rows > 63:
+        first, number = np.unique((context << low) | word, return_index=True, return_inverse=True)[1:]
+        return first, number
+    # Places are sorted with the pairs, which is faster than a sort that gives places.
+    packed = np.sort((((context << low) | word) << rows) | np.arange(len(word)))
+    at, pair = packed & ((1 << rows) - 1), packed >> rows
+    fresh = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+    number = np.empty(len(word), np.int64)
+    number[at] = np.cumsum(fresh) - 1
+    return at[fresh], number
 
 
 class Scorer:
@@ -453,21 +496,33 @@ class Scorer:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens, log2 probability) of each text."""
-        grams, sizes = read(texts, len(self.grams) + 1)
+        (last,), sizes = read(texts, 1)
         out = np.zeros(len(sizes))
-        if not len(grams[0]):
+        if not len(last):
             return sizes, out
-        (p,) = _looked_up(grams[-1], self.words, {"p": self.model.unseen})
+        place = _place(sizes)
+        words, number = np.unique(np.append(last, START), return_inverse=True)
+        start, number = number[-1], number[:-1]
+        p, followed, left = _looked_up(words, self.words, {"p": self.model.unseen, "followed": 1, "left": 1})
+        # Every distinct run of the slice is scored once: ``at`` is one of its places, ``run`` the number of each place's run.
+        run, back, at = number, [number], np.arange(0)
         for k, (store, contexts, off) in enumerate(zip(self.grams, self.contexts, self.model.discounts), 2):
-            run = grams[-k:]
-            (counts,) = _looked_up(gram_keys(run), store, {"n": 0})
+            before = _before(number, start, place, k - 1)
             if k == 2:
-                followed, left = _looked_up(run[0], self.words, {"followed": 1, "left": 1})
+                context = before
             else:
-                followed, *kinds = _looked_up(context_keys(run[:-1]), contexts, {"followed": 0, "kinds1": 0, "kinds2": 0, "kinds3": 0})
+                # Contexts are the runs that end one word earlier, and the start marks of a text.
+                context = np.where(place > 0, np.append(0, run[:-1]), len(at))
+                of = [np.append(words[w[at]], START) for w in reversed(back)]
+                followed, *kinds = _looked_up(context_keys(of), contexts, {"followed": 0, "kinds1": 0, "kinds2": 0, "kinds3": 0})
                 left = np.where(followed > 0, sum(off[i] * x for i, x in enumerate(kinds, 1)) / np.maximum(followed, 1), 1)
-            p = (counts - off[np.minimum(counts, 3).astype(np.int64)]) / np.maximum(followed, 1) + left * p
-        logs = np.log2(p)
+            back.append(before)
+            at, now = _numbered(context, len(followed), number, len(words))
+            (counts,) = _looked_up(gram_keys([words[w[at]] for w in reversed(back)]), store, {"n": 0})
+            mine = context[at]
+            p = (counts - off[np.minimum(counts, 3).astype(np.int64)]) / np.maximum(followed, 1)[mine] + left[mine] * p[run[at]]
+            run = now
+        logs = np.log2(p)[run]
         some = sizes > 0
         out[some] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[some])
         return sizes, out
