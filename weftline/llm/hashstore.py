@@ -7,8 +7,13 @@ the data only, so a task that is run again (a lost executor, speculation) leaves
 
 from __future__ import annotations
 
+import math
+import mmap
 import os
+import resource
+import sys
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,19 +87,37 @@ def write(df: DataFrame, name: str, bits: int) -> str:
     return folder
 
 
+#: Files that a process maps at once: a system allows 65530 maps by default. A map holds its file open before Python 3.13.
+NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MOST_MAPS = 40_000 if NO_FILE else min(40_000, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2)
+
+
+def mapped(path: str) -> np.ndarray:
+    """The array of a file that ``put`` wrote, mapped into memory; the file doesn't stay open."""
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, by_column, kind = np.lib.format.read_array_header_1_0(f)
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **NO_FILE)
+        return np.frombuffer(data, kind, math.prod(shape), f.tell()).reshape(shape, order="F" if by_column else "C")
+
+
 class Store:
-    """Reads a store; buckets are mapped when first asked for."""
+    """Reads a store; buckets are mapped when first asked for, and again where too many were mapped since."""
+
+    alive: weakref.WeakSet[Store] = weakref.WeakSet()
 
     def __init__(self, folder: str, key: str, bits: int):
         self.folder, self.key, self.bits = folder, key, bits
         self.maps: dict[str, np.ndarray | None] = {}
+        self.alive.add(self)
 
     def column(self, name: str, number: int) -> np.ndarray | None:
         at = f"{name}-{number}"
         if at not in self.maps:
+            if sum(len(s.maps) for s in self.alive) >= MOST_MAPS:
+                max(self.alive, key=lambda s: len(s.maps)).maps.clear()
             path = os.path.join(self.folder, f"{at}.npy")
-            # A plain view of the map: what is taken from it is copied without the map's own checks.
-            self.maps[at] = np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
+            self.maps[at] = mapped(path) if os.path.exists(path) else None
         return self.maps[at]
 
     def buckets(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
