@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+from weftline.operators import contradiction
 from weftline.operators.contradiction import SIGNALS, contradictions
 
 MESSAGE = "conv_id long, pos int, id string, role string, content string, tool_calls array<string>"
@@ -46,3 +47,34 @@ def test_contradictions(spark):
     got = {(r["conv_id"], r["pos"]): (r["superseded_by"], r["overlap"], r["signal"]) for r in contradictions(spark.createDataFrame(table, MESSAGE)).collect()}
     assert got == want and len(want) > 10
     assert contradictions(spark.createDataFrame([], MESSAGE)).count() == 0
+
+
+def test_a_long_conversation_moves_its_words_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = [rng.choice(["", "Actually, ", "wait, "]) + " ".join(rng.choice(words) for _ in range(rng.randint(9, 20))) for _ in range(150)]
+    rows = [(p, rng.choice(["user", "assistant"]), t) for p, t in enumerate(texts)]
+    messages = spark.createDataFrame([(1, p, f"1-{p}", r, t, None) for p, r, t in rows], MESSAGE)
+    want = slow(rows)
+    read = lambda df: {r["pos"]: (r["superseded_by"], r["overlap"], r["signal"]) for r in df.collect()}
+    whole = contradictions(messages)
+    assert read(whole) == want and len(want) > 30
+    # No join of pairs with both messages' words.
+    assert "array_intersect" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(contradiction, "LONG", 10)
+    assert read(contradictions(messages)) == want
+    monkeypatch.setattr(contradiction, "LONG", 4096)
+    many = [messages.selectExpr(f"conv_id + {k} as conv_id", "pos", "id", "role", "content", "tool_calls") for k in range(3)]
+    got = contradictions(many[0].union(many[1]).union(many[2])).collect()
+    assert len(got) == 3 * len(want)
+
+
+def test_corrections_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    convs = [[sorted(rng.sample(range(30), rng.randint(0, 8))) for _ in range(n)] for n in (0, 1, 2, 9, 14)]
+    args = [pa.array([[rng.choice(["a", "b", "", None]) for _ in c] for c in convs], pa.list_(pa.string())), pa.array([[rng.random() < 0.5 for _ in c] for c in convs], pa.list_(pa.bool_())), pa.array(convs, pa.list_(pa.list_(pa.int64())))]
+    at_once = contradiction.first_corrections(*args, 0.15).to_pylist()
+    monkeypatch.setattr(contradiction, "HELD", 1)
+    assert contradiction.first_corrections(*args, 0.15).to_pylist() == at_once and any(at_once)
